@@ -3,7 +3,7 @@
 Documents are tokenised, closed by an end id and cut into pieces of at most ``max_tokens`` (only longer documents are
 cut). A piece demands three resources of a sequence: tokens, one place in its document count, and attention cost
 (length squared). Pieces are placed longest first; among the open sequences with room in every dimension the best is
-chosen by the weighted dot product of demand and residual capacity (largest wins after the tie on the token residual)
+chosen by the weighted dot product of demand and residual capacity (the largest wins among those that leave the fewest tokens)
 or by the norm of what would remain (smallest wins), each as a share of the capacity.
 
 A full-length piece fills a sequence alone. Each task packs its own rows in runs of ``RUN`` pieces, so that no key decides who packs
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .storage import materialize, read_table
 from .words import default_path, encoder
 
-RUN = 32_768
+RUN = 8_192
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECES_SCHEMA + ", sequence_id long, offset long"
 
@@ -69,39 +69,42 @@ def cut_documents(docs: DataFrame, max_tokens: int = 2048, end_id: int = 0, toke
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
     """The sequence (from 0) and the offset of each piece."""
     full = np.array([capacity.tokens, capacity.documents, capacity.attention], dtype=float)
-    weights = np.array(capacity.weights)
+    w = np.array(capacity.weights)
     sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     order = np.argsort(-lengths, kind="stable")
-    least = lengths[order[-1]] if len(lengths) else 0
-    room = np.empty((1024, 3))  # residual shares of the open sequences
+    least = int(lengths[order[-1]]) if len(lengths) else 0
+    room = np.empty((3, 1024), np.int64)  # what the open sequences have left of each resource
     name, n_open, made = np.empty(1024, np.int64), 0, 0
     for i in order:
-        demand = np.array([lengths[i], 1.0, float(lengths[i]) ** 2]) / full
-        left = room[:n_open] - demand
-        fits = np.flatnonzero(left.min(axis=1) >= -1e-12)
+        length = int(lengths[i])
+        demand = (length, 1, length * length)
+        tokens, documents, attention = room[:, :n_open]
+        fits = np.flatnonzero((tokens >= length) & (documents >= 1) & (attention >= demand[2]))
         if len(fits):
+            have = room[:, fits]
             if capacity.rule == "norm":
-                at = fits[np.argmin((left[fits] ** 2) @ weights)]
+                left = (have - np.array(demand)[:, None]) / full[:, None]
+                at = fits[np.argmin(w @ (left * left))]
             else:
-                at = fits[np.lexsort((-(room[fits] * demand) @ weights, left[fits, 0]))[0]]
-            room[at] = left[at]
+                score = (w * demand / full) @ (have / full[:, None])
+                at = fits[np.lexsort((-score, have[0]))[0]]
         else:
-            if n_open == len(room):
-                room, name = np.concatenate([room, np.empty_like(room)]), np.concatenate([name, np.empty_like(name)])
+            if n_open == room.shape[1]:
+                room, name = np.concatenate([room, np.empty_like(room)], axis=1), np.concatenate([name, np.empty_like(name)])
             at, n_open = n_open, n_open + 1
-            room[at], name[at] = 1 - demand, made
+            room[:, at], name[at] = (capacity.tokens, capacity.documents, capacity.attention), made
             made += 1
-        sequence[i] = name[at]
-        offset[i] = capacity.tokens - round((room[at, 0] + demand[0]) * capacity.tokens)
-        if room[at, 0] * capacity.tokens < least - 1e-6:  # nothing fits any more
+        sequence[i], offset[i] = name[at], capacity.tokens - room[0, at]
+        room[:, at] -= demand
+        if room[0, at] < least or not room[1, at]:  # nothing fits any more
             n_open -= 1
-            room[at], name[at] = room[n_open], name[n_open]
+            room[:, at], name[at] = room[:, n_open], name[n_open]
     return sequence, offset
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     """``PACKED_SCHEMA``. ``pieces`` should be a stored table: its rows are dealt out evenly, whatever their keys."""
-    n_tasks = max(1, pieces.count() // (4 * RUN))
+    n_tasks = max(1, pieces.count() // (2 * RUN))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         next_id = TaskContext.get().partitionId() << 40
