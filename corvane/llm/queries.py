@@ -1,12 +1,13 @@
 """One query an operator, over its whole table, with production parameters."""
 
-from . import exact_dedup, line_dedup, packing, quality, sharding, simhash
+from . import exact_dedup, line_dedup, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality.query,
     "op4_line_dedup": line_dedup.query,
     "op5_sharding": sharding.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_toxicity": toxicity.query,
     "op8_best_fit_packing": packing.query,
     "op10_simhash_near_dedup": simhash.query,
 }
