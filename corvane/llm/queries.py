@@ -1,9 +1,10 @@
 """One query an operator, over its whole table, with production parameters."""
 
-from . import exact_dedup, line_dedup, packing, quality, sharding, simhash, toxicity
+from . import exact_dedup, line_dedup, packing, pii, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality.query,
+    "op3_personal_data": pii.query,
     "op4_line_dedup": line_dedup.query,
     "op5_sharding": sharding.query,
     "op6_exact_dedup": exact_dedup.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_personal_data": pii.query,
     "op4_line_dedup": line_dedup.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
 }
