@@ -8,12 +8,16 @@
    the thresholds t_i >= -1 satisfy sum(t_i + 1) = max_bits + 1 (-1: the part is not probed). The cheapest allocation is found by
    dynamic programming over parts; its costs are the keys written and the candidates expected: pairs that share a
    part's value are counted exactly over all fingerprints, and scaled to t_i > 0 by the bits' mismatch rates.
-5. Probe and verify: each fingerprint is written under the keys of its parts (index keys within floor(t/2) bits, probe
-   keys within ceil(t/2)); each key's fingerprints are compared in full and give a spanning forest of the links, never all pairs.
-   A key shared by more than ``GROUP`` fingerprints is not gathered: its members are regrouped by the values
-   within ``ceil(max_bits / 2)`` bits of the whole fingerprint, where two linked ones always meet and groups stay small.
+5. Probe and verify: each fingerprint is written under the values within ceil(t/2) bits of its parts' own, so that two
+   within t bits meet; a key's fingerprints are compared in full and give a minimum spanning forest of the links, never all pairs.
+   A key shared by more than ``GROUP`` fingerprints is not gathered. For one or two bits its members are regrouped by the
+   values within one bit of the whole fingerprint, where linked ones meet and at most 65 can; for more bits they are
+   dealt to blocks, and each two blocks are compared in a task of their own.
 6. Connected components by star contraction; a component is named by its smallest ``doc_id``.
 
+``similar_groups`` adds an exact check for coarse searches: links within ``max_bits`` count only if the texts' word shingles
+have the wanted Jaccard similarity.
+
 Defined results: null and word-free texts have fingerprint zero, linked like any other; rows with a null ``doc_id`` are
 reported, and a component of null ids only has a null ``component_id``; repeated rows are reported each; an empty table gives no
 rows; columns other than ``doc_id`` and ``text`` are ignored.
@@ -35,7 +39,8 @@ from .storage import materialize, read_table
 
 BITS = 64
 GROUP = 256
-KEY_COST = 0.05  # of writing a key, in pairs compared
+PARTS = range(1, 7)
+KEY_COST = 300  # of writing a key, in pairs compared
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -147,7 +152,7 @@ def plan_search(nodes: DataFrame, max_bits: int) -> list[tuple[list[int], int]]:
     n, both = bit_statistics(nodes)
     p = np.diag(both) / max(n, 1)
     rates = np.clip(2 * p * (1 - p), 1e-6, 0.5)
-    plans = {m: group_bits(n, both, m) for m in range(1, max(4, max_bits + 2) + 1)}
+    plans = {m: group_bits(n, both, m) for m in PARTS}
     shared = _sharing_pairs(nodes, plans)
     options = []
     for m, parts in plans.items():
@@ -155,8 +160,7 @@ def plan_search(nodes: DataFrame, max_bits: int) -> list[tuple[list[int], int]]:
         for i, part in enumerate(parts):
             exact, base, row = shared.get((m, i), 0.0), within(rates[part], 0), [0.0]
             for t in range(max_bits + 1):
-                keys = n * (ball(len(part), t // 2) + (ball(len(part), (t + 1) // 2) if t else 0))
-                row.append(KEY_COST * keys + exact * within(rates[part], t) / base + n * n / 2 * within(rates[part], t) * (t > 0))
+                row.append(KEY_COST * n * ball(len(part), (t + 1) // 2) + exact * within(rates[part], t) / base + n * n / 2 * within(rates[part], t) * (t > 0))
             costs.append(row)
         cost, ts = allocate(costs, max_bits)
         options.append((cost, m, [(part, t) for part, t in zip(parts, ts) if t >= 0]))
@@ -181,23 +185,30 @@ def _keys(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
 
 
 def forest(fps: list[int], max_bits: int) -> list[tuple[int, int]]:
-    """Links of one key's fingerprints as a spanning forest."""
-    fps = sorted(set(fps))
-    root = list(range(len(fps)))
+    """Links of one key's fingerprints as a minimum spanning forest: nearest first, as (larger, smaller)."""
+    values = np.unique(np.array(fps, dtype=np.int64))
+    bits = values.view(np.uint64)
+    pairs = []
+    for i in range(len(values) - 1):
+        far = np.bitwise_count(bits[i + 1 :] ^ bits[i])
+        near = np.flatnonzero(far <= max_bits)
+        if len(near):
+            pairs.append(np.stack([far[near].astype(np.int64), np.full(len(near), i), near + i + 1]))
+    if not pairs:
+        return []
+    root = list(range(len(values)))
 
     def top(i: int) -> int:
         while root[i] != i:
             root[i] = i = root[root[i]]
         return i
 
-    values = np.array(fps, dtype=np.int64).view(np.uint64)
-    found = []
-    for i in range(len(fps) - 1):
-        for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= max_bits):
-            a, b = top(i), top(i + 1 + int(j))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                found.append((fps[i + 1 + int(j)], fps[i]))
+    found, every = [], np.concatenate(pairs, axis=1)
+    for _, i, j in every[:, np.argsort(every[0], kind="stable")].T.tolist():
+        a, b = top(i), top(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            found.append((int(values[j]), int(values[i])))
     return found
 
 
@@ -219,15 +230,26 @@ def _links(groups: DataFrame, max_bits: int) -> DataFrame:
     return groups.where("size(fps) > 1").select("fps").mapInArrow(verify, "a long, b long")
 
 
+def _blocks(crowded: DataFrame, group: int) -> DataFrame:
+    """Members ``(part, key, count, fp)`` of crowded keys, dealt so that every two blocks of a key meet in one group."""
+    n = F.ceil(F.col("count") / group).cast("int")
+    own = F.pmod(F.xxhash64("fp"), n).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), n - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high")))
+    return crowded.select("part", "key", F.explode(meets).alias("block"), "fp").groupBy("part", "key", "block").agg(F.collect_list("fp").alias("fps"))
+
+
 def near_links(nodes: DataFrame, max_bits: int, group: int = GROUP) -> DataFrame:
     """``(a, b)``: a spanning forest, a key, of the links among the distinct fingerprints ``nodes(fp)``."""
     keys = _keys(nodes, plan_search(nodes, max_bits))
-    large = materialize(keys.groupBy("part", "key").count().where(F.col("count") > group).select("part", "key"), "large")
+    large = materialize(keys.groupBy("part", "key").count().where(F.col("count") > group), "large")
     usual = keys.join(large, ["part", "key"], "left_anti").groupBy("part", "key").agg(F.collect_list("fp").alias("fps"))
-    crowded = keys.join(large, ["part", "key"], "left_semi").select("fp").distinct()
-    around = F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(m)).cast("long")) for m in _flips(BITS, (max_bits + 1) // 2)])
-    regrouped = crowded.select("fp", F.explode(around).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    return _links(usual.select("fps"), max_bits).union(_links(regrouped.select("fps"), max_bits))
+    if max_bits <= 2:
+        crowded = keys.join(large, ["part", "key"], "left_semi").select("fp").distinct()
+        around = F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(m)).cast("long")) for m in _flips(BITS, (max_bits + 1) // 2)])
+        again = crowded.select("fp", F.explode(around).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    else:
+        again = _blocks(keys.join(large, ["part", "key"]), group)
+    return _links(usual.select("fps"), max_bits).union(_links(again.select("fps"), max_bits))
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -242,6 +264,57 @@ def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
     return rows.join(materialize(of_fp, "components"), "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of the word shingles."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    digest = xxhash.xxh32_intdigest
+    grams = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
+    return np.unique(np.fromiter((digest(b" ".join(g)) for g in grams), np.uint32))
+
+
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py() or "", shingle).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "grams"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(scan, "doc_id long, grams binary")
+
+
+def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 11, check_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(node, root)`` of ids: every document linked to a smaller one, with the smallest of its group.
+
+    Links are those of a minimum spanning forest of the fingerprints within ``max_bits``, and of each fingerprint's documents to its
+    first, whose texts are similar. Rows with a null ``doc_id`` are never linked; rows that repeat an id count as one document.
+    """
+    rows = materialize(fingerprints(docs.where("doc_id IS NOT NULL"), shingle), "fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
+    links = materialize(near_links(nodes, max_bits, 4 * GROUP).distinct(), "links")
+    a, b = nodes.toDF("a", "a_id"), nodes.toDF("b", "b_id")
+    apart = links.join(a, "a").join(b, "b").select("a_id", "b_id")
+    equal = rows.join(nodes, "fp").where("doc_id != least_id").select("doc_id", "least_id")
+    pairs = materialize(apart.union(equal).toDF("a", "b").distinct(), "pairs")
+    involved = pairs.select("a").union(pairs.select("b")).distinct().toDF("involved")
+    sets = materialize(_shingle_sets(docs.join(involved, F.col("doc_id") == F.col("involved"), "left_semi"), check_shingle).dropDuplicates(["doc_id"]), "sets")
+    with_sets = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return connected_components(_similar(with_sets, similarity))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     groups = near_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
