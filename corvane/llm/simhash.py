@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -104,19 +104,31 @@ def group_bits(n: int, both: np.ndarray, n_parts: int) -> list[list[int]]:
     return parts
 
 
-def part_value(fp: Column, part: list[int]) -> Column:
-    value = F.lit(0).cast("long")
-    for j, bit in enumerate(part):
-        value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, bit).bitwiseAND(F.lit(1).cast("long")), j))
-    return value
+def part_values(fps: np.ndarray, part: list[int]) -> np.ndarray:
+    """The bits of a part, packed."""
+    return _as_bits(fps)[:, part].astype(np.int64) @ (1 << np.arange(len(part), dtype=np.uint64)).view(np.int64)
+
+
+def _dealt(nodes: DataFrame, entries: list[tuple[int, list[int], list[int]]]) -> DataFrame:
+    """``(part, key, fp)``: for each entry (part's name, its bits, masks) every fingerprint under its part's value with each mask."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fp").to_numpy(zero_copy_only=False)
+            for name, part, masks in entries:
+                values = part_values(fps, part)
+                for mask in masks:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), name, np.int32)), pa.array(values ^ mask), batch.column("fp")], ["part", "key", "fp"])
+
+    return nodes.select("fp").mapInArrow(deal, "part int, key long, fp long")
 
 
 def _sharing_pairs(nodes: DataFrame, plans: dict[int, list[list[int]]]) -> dict[tuple[int, int], float]:
     """Pairs of fingerprints that agree on a whole part, counted over all of them."""
-    entries = [F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), part_value(F.col("fp"), part).alias("v")) for m, parts in plans.items() for i, part in enumerate(parts)]
-    shared = nodes.select(F.explode(F.array(*entries)).alias("e")).groupBy("e").count()
-    pairs = shared.groupBy("e.m", "e.i").agg(F.sum(F.expr("cast(count as double) * (count - 1) / 2")).alias("pairs"))
-    return {(r["m"], r["i"]): r["pairs"] for r in pairs.collect()}
+    entries = [(100 * m + i, part, [0]) for m, parts in plans.items() for i, part in enumerate(parts)]
+    shared = _dealt(nodes, entries).groupBy("part", "key").count()
+    pairs = shared.groupBy("part").agg(F.sum(F.expr("cast(count as double) * (count - 1) / 2")).alias("pairs"))
+    return {divmod(r["part"], 100): r["pairs"] for r in pairs.collect()}
 
 
 def within(rates: np.ndarray, t: int) -> float:
@@ -176,12 +188,7 @@ def _signed(mask: int) -> int:
 
 
 def _keys(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    entries = []
-    for i, (part, t) in enumerate(plan):
-        value = part_value(F.col("fp"), part)
-        for mask in _flips(len(part), (t + 1) // 2):
-            entries.append(F.struct(F.lit(i).alias("part"), value.bitwiseXOR(F.lit(_signed(mask)).cast("long")).alias("key")))
-    return nodes.select("fp", F.explode(F.array(*entries)).alias("k")).select("k.part", "k.key", "fp")
+    return _dealt(nodes, [(i, part, [*map(_signed, _flips(len(part), (t + 1) // 2))]) for i, (part, t) in enumerate(plan)])
 
 
 def forest(fps: list[int], max_bits: int) -> list[tuple[int, int]]:
@@ -245,8 +252,8 @@ def near_links(nodes: DataFrame, max_bits: int, group: int = GROUP) -> DataFrame
     usual = keys.join(large, ["part", "key"], "left_anti").groupBy("part", "key").agg(F.collect_list("fp").alias("fps"))
     if max_bits <= 2:
         crowded = keys.join(large, ["part", "key"], "left_semi").select("fp").distinct()
-        around = F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(m)).cast("long")) for m in _flips(BITS, (max_bits + 1) // 2)])
-        again = crowded.select("fp", F.explode(around).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps"))
+        around = [*map(_signed, _flips(BITS, (max_bits + 1) // 2))]
+        again = _dealt(crowded, [(0, [*range(BITS)], around)]).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     else:
         again = _blocks(keys.join(large, ["part", "key"]), group)
     return _links(usual.select("fps"), max_bits).union(_links(again.select("fps"), max_bits))
