@@ -1,8 +1,9 @@
 """One query an operator, over its whole table, with production parameters."""
 
-from . import exact_dedup, line_dedup, packing, pii, quality, sharding, simhash, toxicity
+from . import exact_dedup, line_dedup, packing, pii, quality, segmentation, sharding, simhash, token_files, toxicity
 
 QUERIES = {
+    "op1_token_counts": token_files.query,
     "op2_quality_rules": quality.query,
     "op3_personal_data": pii.query,
     "op4_line_dedup": line_dedup.query,
@@ -10,6 +11,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op7_toxicity": toxicity.query,
     "op8_best_fit_packing": packing.query,
+    "op9_nbest_segmentation": segmentation.query,
     "op10_simhash_near_dedup": simhash.query,
 }
 
