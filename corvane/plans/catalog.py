@@ -1,4 +1,166 @@
-"""Named queries over the driver's tables, with their SQL counterparts."""
+"""Named queries over the driver's tables, with their SQL counterparts.
+
+Documents stand for chunks: ``doc_id`` is id and position, ``source`` the source, the inferred first heading the
+heading. ``benchmark`` texts are the questions. Vector ``vec_id`` belongs to the document and to the question of that id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import terms as T
+from ..operators import retrieval as R
+from ..operators.index import build_index, corpus_stats, document_frequency, term_bags
+from . import sql as S
 
 QUERIES = {}
 ORACLE_SQL = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chunks(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("position"), "source", T.infer_heading(F.col("text")).alias("heading"), "text")
+    if not vectors:
+        return docs
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return docs.join(held, "chunk_id", "left")
+
+
+def questions(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    if not vectors:
+        return asked
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    return asked.join(held, "question_id", "left")
+
+
+def six(column: str):
+    return F.round(column, 6).alias(column)
+
+
+# ---- tokens, terms and statistics
+
+
+@query(f"SELECT doc_id, len({S.tok('text')}) AS n_tokens, len({S.content('text')}) AS n_terms, len(list_distinct({S.content('text')})) AS n_distinct FROM documents")
+def token_counts(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(text)).cast("long").alias("n_tokens"), F.size(T.content_terms(text)).cast("long").alias("n_terms"), F.size(T.term_set(text)).cast("long").alias("n_distinct"))
+
+
+@query(f"WITH {S.CHUNKS} SELECT chunk_id, term, tf FROM bags")
+def content_term_freq(spark, sf_dir):
+    return term_bags(chunks(spark, sf_dir)).where("tf > 0").select("chunk_id", "term", F.col("tf").cast("long").alias("tf"))
+
+
+@query(f"WITH {S.CHUNKS} SELECT term, df FROM dfs")
+def term_document_frequency(spark, sf_dir):
+    return document_frequency(term_bags(chunks(spark, sf_dir)))
+
+
+@query(f"WITH {S.CHUNKS} SELECT n_chunks, round(average_length, 6) AS average_length FROM stats")
+def index_stats(spark, sf_dir):
+    return corpus_stats(chunks(spark, sf_dir)).select("n_chunks", six("average_length"))
+
+
+@query(f"WITH {S.CHUNKS} SELECT question_id, term, qf FROM qterms")
+def query_term_multiplicity(spark, sf_dir):
+    return R.question_terms(questions(spark, sf_dir)).select("question_id", "term", "qf")
+
+
+# ---- retrieval
+
+
+@query(f"""WITH {S.CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY lexical DESC, chunk_id) AS rank FROM bm25)
+SELECT question_id, rank, chunk_id, round(lexical, 6) AS lexical FROM r WHERE rank <= 10""")
+def bm25_topk(spark, sf_dir):
+    scored = R.bm25(build_index(chunks(spark, sf_dir)), questions(spark, sf_dir))
+    return R.top_k(scored, "lexical", 10, tie="chunk_id").select("question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", six("lexical"))
+
+
+@query(f"""WITH {S.CHUNKS}, {S.FEATURES}, {S.HYBRID}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY semantic DESC, chunk_id) AS rank FROM sem)
+SELECT question_id, rank, chunk_id, round(semantic, 6) AS semantic FROM r WHERE rank <= 10""")
+def cosine_topk(spark, sf_dir):
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    scored = R.semantic_scores(held, questions(spark, sf_dir, vectors=True))
+    return R.top_k(scored, "semantic", 10, tie="chunk_id").select("question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", six("semantic"))
+
+
+@query(f"""WITH {S.CHUNKS}, {S.FEATURES}
+SELECT question_id, chunk_id, round(rerank, 6) AS rerank, round(lexical_confidence, 6) AS lexical_confidence FROM features WHERE lexical > 0 OR rerank > 0""")
+def rerank_features(spark, sf_dir):
+    found = R.rerank_features(build_index(chunks(spark, sf_dir)), questions(spark, sf_dir)).where("lexical > 0 OR rerank > 0")
+    return found.select("question_id", "chunk_id", six("rerank"), six("lexical_confidence"))
+
+
+@query(f"""WITH {S.CHUNKS}, {S.FEATURES}, {S.HYBRID}, l AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY lexical DESC, chunk_id) AS rank FROM bm25),
+s AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY semantic DESC, chunk_id) AS rank FROM sem WHERE semantic > 0)
+SELECT question_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS fused
+FROM (SELECT question_id, chunk_id, rank FROM l UNION ALL SELECT question_id, chunk_id, rank FROM s) GROUP BY ALL""")
+def rrf_fusion(spark, sf_dir):
+    asked = questions(spark, sf_dir, vectors=True)
+    lexical = R.bm25(build_index(chunks(spark, sf_dir)), asked).withColumn("position", F.col("chunk_id"))
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    semantic = R.semantic_scores(held, asked).withColumn("position", F.col("chunk_id"))
+    return R.rrf([R.positive_rank(lexical, "lexical"), R.positive_rank(semantic, "semantic")]).select("question_id", "chunk_id", six("fused"))
+
+
+def _hybrid(spark, sf_dir, k=10):
+    return R.search(build_index(chunks(spark, sf_dir, vectors=True)), questions(spark, sf_dir, vectors=True), k)
+
+
+@query(f"""WITH {S.CHUNKS}, {S.FEATURES}, {S.HYBRID}
+SELECT question_id, rank, chunk_id, round(score, 6) AS score, round(lexical, 6) AS lexical, round(semantic, 6) AS semantic, round(confidence, 6) AS confidence
+FROM results WHERE rank <= 10""")
+def hybrid_search(spark, sf_dir):
+    return _hybrid(spark, sf_dir).select("question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", six("score"), six("lexical"), six("semantic"), six("confidence"))
+
+
+@query(f"""WITH {S.CHUNKS}, {S.FEATURES}, {S.HYBRID}
+SELECT question_id, round(confidence, 6) AS confidence, round(least(0.45, 0.25 + 0.15 / sqrt(greatest(1, len(list_distinct(terms))))), 6) AS least_confidence,
+       confidence < least(0.45, 0.25 + 0.15 / sqrt(greatest(1, len(list_distinct(terms))))) AS abstains
+FROM results JOIN asked USING (question_id) WHERE rank = 1""")
+def confidence_gate(spark, sf_dir):
+    best = _hybrid(spark, sf_dir, 1).join(questions(spark, sf_dir), "question_id")
+    least = T.minimum_confidence(F.col("question"))
+    return best.select("question_id", six("confidence"), F.round(least, 6).alias("least_confidence"), (F.col("confidence") < least).alias("abstains"))
+
+
+@query(f"""WITH {S.CHUNKS}, {S.FEATURES}, {S.HYBRID}, hits AS (SELECT * FROM results WHERE rank <= 3),
+steps AS (SELECT d AS off, s AS side FROM (VALUES (1), (2)) a(d), (VALUES (0), (1)) b(s)),
+ordered AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
+near AS (
+  SELECT h.question_id, n.doc_id AS chunk_id, h.score / (off + 1) AS score, 1 AS hit, h.rank, off, side
+  FROM hits h JOIN ordered o ON o.doc_id = h.chunk_id CROSS JOIN steps
+  JOIN ordered n ON n.source = o.source AND n.place = o.place + CASE WHEN side = 0 THEN -off ELSE off END
+), every AS (
+  SELECT question_id, chunk_id, score, 0 AS hit, rank, 0 AS off, 0 AS side FROM hits UNION ALL SELECT * FROM near
+), first AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY hit, rank, off, side) AS turn FROM every
+)
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY hit, rank, off, side) AS rank, chunk_id, round(score, 6) AS score,
+       CASE WHEN hit = 1 THEN 'Neighbor' ELSE 'Match' END AS kind FROM first WHERE turn = 1""")
+def neighbor_expand(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("source").orderBy("chunk_id"))
+    near = chunks(spark, sf_dir).withColumn("position", place.cast("long"))
+    hits = _hybrid(spark, sf_dir, 3).drop("position").join(near.select("chunk_id", "position"), "chunk_id")
+    return R.expand_neighbours(hits, near, 2).select("question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", six("score"), "kind")
+
+
+@query("SELECT greatest(1, least(count(*), greatest(3, ceil(log2(count(*) + 1))))) :: INTEGER AS k, greatest(1, least(count(*), greatest(3, ceil(log2(count(*) + 1))), greatest(1, floor(((4096 - 512 - 256) * 3) / greatest(1, round_even(avg(length(text)), 0)))))) :: INTEGER AS k_context FROM documents")
+def dynamic_top_k(spark, sf_dir):
+    held = chunks(spark, sf_dir)
+    return R.dynamic_k(held).crossJoin(R.dynamic_k(held, 4096, 512).withColumnRenamed("k", "k_context"))
