@@ -35,7 +35,7 @@ from .storage import materialize, read_table
 SAMPLE_ROWS = 20_000
 PREFIXES = range(3, 13)
 LEVELS = 3
-MAX_CANDIDATES = 10_000
+MAX_CANDIDATES, MAX_LEARNT = 10_000, 1_000
 MAX_CLUES = 300
 LEAST_TEXTS = 4
 LEAST_SHARE, SURE_SHARE = 0.5, 0.75
@@ -255,22 +255,28 @@ def learn_clues(sample: DataFrame, counts: np.ndarray) -> tuple[list[str], list[
     level = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("level")
     spread = rows.select(F.explode("found").alias("prefix", "n"), "toxic").select("prefix", level, "toxic")
     table = spread.groupBy("prefix", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("hits")).where(f"hits >= {LEAST_TEXTS} AND hits >= {LEAST_SHARE} * n")
-    candidates = [(r["prefix"], r["level"]) for r in table.orderBy(F.desc(F.expr("hits * hits / n")), "prefix", "level").limit(MAX_CANDIDATES).collect()]
+    candidates = [(r["prefix"], r["level"]) for r in table.orderBy(F.desc(F.expr("hits * hits / n")), "prefix", "level").limit(MAX_LEARNT).collect()]
     at: dict[str, list[tuple[int, int]]] = {}
     for i, (prefix, least) in enumerate(candidates):
         at.setdefault(prefix, []).append((i, least))
-    fired, toxic = [], []
-    for found, label in rows.collect():  # bounded by the sample and the candidates
-        fired.append([i for prefix, n in found.items() for i, least in at.get(prefix, ()) if n >= least])
-        toxic.append(float(label))
-    member = np.zeros((len(fired), len(candidates)), bool)
-    for r, columns in enumerate(fired):
-        member[r, columns] = True
-    return _choose(candidates, member, np.array(toxic))
+
+    def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.zeros((len(batch), len(candidates)), bool)
+            for r, found in enumerate(batch.column("found")):
+                bits[r, [i for prefix, n in found.as_py() for i, least in at.get(prefix, ()) if n >= least]] = True
+            packed = [row.tobytes() for row in np.packbits(bits, axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column("toxic")], ["fired", "toxic"])
+
+    held = rows.mapInArrow(fire, "fired binary, toxic int").toArrow()  # at most SAMPLE_ROWS rows of MAX_LEARNT bits
+    toxic = held.column("toxic").to_numpy().astype(float)
+    packed = np.frombuffer(b"".join(held.column("fired").to_pylist()), np.uint8).reshape(len(toxic), -1)
+    member = np.unpackbits(packed, axis=1, count=len(candidates)).astype(bool) if candidates and len(toxic) else np.zeros((len(toxic), len(candidates)), bool)
+    return _choose(candidates, member, toxic)
 
 
 def _choose(candidates: list[tuple[str, int]], member: np.ndarray, toxic: np.ndarray) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
-    n, hits = member.sum(axis=0), toxic @ member
+    n, hits = member.sum(axis=0), member[toxic > 0].sum(axis=0).astype(float)
     bound = _wilson(hits, n) if len(candidates) else np.zeros(0)
     open_rows, taken = np.ones(len(toxic), bool), []
     for best in sorted(np.flatnonzero(bound >= LEAST_SHARE), key=lambda i: (-bound[i], -len(candidates[i][0]), candidates[i])):
