@@ -11,11 +11,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import vocabulary as V
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
