@@ -43,7 +43,7 @@ def diff_counts(diff: DataFrame) -> DataFrame:
 
 def loose_terms(text: Column, longer_than: int = 0) -> Column:
     """Case-folded letter and digit runs of the raw text."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{Nl}\p{No}]+|\p{Nd}+"), 0), T.normal_form)
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{Nl}\p{No}]+|\p{Nd}+"), 0), lambda t: T.normal_form(t))
     return F.array_distinct(F.filter(found, lambda t: F.length(t) > longer_than))
 
 
