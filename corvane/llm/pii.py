@@ -133,16 +133,17 @@ OCCURRENCE = "array<struct<start:int,end:int,string:string,kind:string,patterns:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``(doc_id, found)``: the occurrences of every text, one row a row of ``docs``."""
+    """``(doc_id, text_hash, found)``: the occurrences of every text, one row a row of ``docs``."""
     fields = [("start", pa.int32()), ("end", pa.int32()), ("string", pa.string()), ("kind", pa.string()), ("patterns", pa.list_(pa.string()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f for f, _ in fields]
         for batch in batches:
             found = [[dict(zip(names, o)) for o in occurrences(t.as_py() or "")] for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.struct(fields)))], ["doc_id", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.list_(pa.struct(fields)))], ["doc_id", "text_hash", "found"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, f"doc_id long, found {OCCURRENCE}")
+    known = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(coalesce(text, '')) text_hash", "text")
+    return known.mapInArrow(run, f"doc_id long, text_hash long, found {OCCURRENCE}")
 
 
 def _shape(column: str):
@@ -174,7 +175,7 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """``(doc_id, base, added)``: arrays of (kind, start, end), ends exclusive, in code points."""
+    """``(doc_id, text_hash, base, added)``: arrays of (kind, start, end), ends exclusive, in code points."""
     scanned = materialize(scan(docs.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id()), "occurrences")
     accepted = bootstrap(scanned)
     open_ones = scanned.select("row", F.explode("found").alias("o")).where("o.kind IS NULL").select("row", "o.string", "o.start", "o.end")
@@ -182,7 +183,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     added = materialize(open_ones.join(accepted, "string").groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("added")), "added")
     base = F.transform(F.filter("found", lambda o: o["kind"].isNotNull()), lambda o: F.struct(o["kind"].alias("kind"), o["start"].alias("start"), o["end"].alias("end")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return scanned.join(added, "row", "left").select("doc_id", base.alias("base"), F.coalesce("added", none).alias("added"))
+    return scanned.join(added, "row", "left").select("doc_id", "text_hash", base.alias("base"), F.coalesce("added", none).alias("added"))
 
 
 def _listing(spans):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import new_folder, read_table
+from .storage import materialize, new_folder, read_table
 from .words import default_path
 
 BLOCK = 1 << 20
@@ -61,7 +61,7 @@ def encode_records(docs: DataFrame, tokenizer: str | None = None, label: bool =
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(encode, "record binary")
 
 
-def write_token_files(records: DataFrame, path: str, end_id: int = END_ID, rows_per_file: int = 20_000) -> None:
+def write_token_files(records: DataFrame, path: str, end_id: int = END_ID, rows_per_file: int = 5_000) -> None:
     """Flat files of 16-bit ids: each record, then the end id, whose two bytes are the text writer's line separator."""
     separator = int(end_id).to_bytes(2, "little").decode("latin-1")
     text = records.select(F.col("record").cast("string").alias("value"))
@@ -91,7 +91,7 @@ def scan_token_files(spark: SparkSession, path: str, end_id: int = END_ID, width
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.where(~F.element_at(F.split("path", "/"), -1).rlike(r"^[_.]|\.crc$"))
     files = files.withColumn("content", F.when(F.col("length") % width == 0, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("no whole number of ids in "), "path")).cast("binary")))
-    blocks = _find_ends(files, end_id, width, block, tail).withColumn("group", F.floor(F.col("block") / SUPER))
+    blocks = materialize(_find_ends(files, end_id, width, block, tail).withColumn("group", F.floor(F.col("block") / SUPER)), "blocks")
     last, n_ends = F.array_max("ends"), F.size("ends")
     groups = blocks.groupBy("file", "group").agg(F.max(last).alias("last"), F.sum(n_ends).alias("n"), F.sum("n_tokens").alias("tokens"))
     before = Window.partitionBy("file").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
