@@ -1,7 +1,7 @@
 """Durable tables: extracted sections, embedding vectors and their models, as Parquet.
 
 A store is a folder. Sections are partitioned by collection and vectors by model, so that reads prune to one folder. A change
-writes the new state of one partition beside the old one and then replaces it. ``_meta.json`` holds the schema's
+writes the new state of one partition beside the old one and then replaces it. ``meta.json`` holds the schema's
 version; other versions are refused.
 """
 
@@ -53,13 +53,13 @@ class Store:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def _meta(self) -> dict:
-        fs, path = self._path("_meta.json")
+        fs, path = self._path("meta.json")
         if not fs.exists(path):
             return {}
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/_meta.json").first()[0])
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/meta.json").first()[0])
 
     def _put_meta(self, meta: dict) -> None:
-        fs, path = self._path("_meta.json")
+        fs, path = self._path("meta.json")
         out = fs.create(path, True)
         out.write(bytearray(json.dumps({**meta, "version": VERSION}).encode()))
         out.close()
