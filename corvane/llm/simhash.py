@@ -172,7 +172,7 @@ def plan_search(nodes: DataFrame, max_bits: int) -> list[tuple[list[int], int]]:
         for i, part in enumerate(parts):
             exact, base, row = shared.get((m, i), 0.0), within(rates[part], 0), [0.0]
             for t in range(max_bits + 1):
-                row.append(KEY_COST * n * ball(len(part), (t + 1) // 2) + exact * within(rates[part], t) / base + n * n / 2 * within(rates[part], t) * (t > 0))
+                row.append(KEY_COST * max(n, 1) * ball(len(part), (t + 1) // 2) + exact * within(rates[part], t) / base + n * n / 2 * within(rates[part], t) * (t > 0))
             costs.append(row)
         cost, ts = allocate(costs, max_bits)
         options.append((cost, m, [(part, t) for part, t in zip(parts, ts) if t >= 0]))

@@ -270,8 +270,10 @@ def learn_clues(sample: DataFrame, counts: np.ndarray) -> tuple[list[str], list[
 
     held = rows.mapInArrow(fire, "fired binary, toxic int").toArrow()  # at most SAMPLE_ROWS rows of MAX_LEARNT bits
     toxic = held.column("toxic").to_numpy().astype(float)
-    packed = np.frombuffer(b"".join(held.column("fired").to_pylist()), np.uint8).reshape(len(toxic), -1)
-    member = np.unpackbits(packed, axis=1, count=len(candidates)).astype(bool) if candidates and len(toxic) else np.zeros((len(toxic), len(candidates)), bool)
+    member = np.zeros((len(toxic), len(candidates)), bool)
+    if member.size:
+        packed = np.frombuffer(b"".join(held.column("fired").to_pylist()), np.uint8).reshape(len(toxic), -1)
+        member = np.unpackbits(packed, axis=1, count=len(candidates)).astype(bool)
     return _choose(candidates, member, toxic)
 
 
