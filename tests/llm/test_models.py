@@ -137,7 +137,7 @@ def brute_paths(word):
         for j in range(i + 1, len(word) + 1):
             if p := V.pieces.get(word[i:j]):
                 known = known or j == i + 1
-                go(j, score + p[0], (*ids, p[1]))
+                go(j, score + p[0], (*ids, int.from_bytes(p[1], "little")))
         if not known:
             go(i + 1, score + V.unknown, ids + tuple(V.bytes[b] for b in word[i].encode()))
 
