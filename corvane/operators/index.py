@@ -25,13 +25,13 @@ class Index:
 
 
 def term_bags(chunks: DataFrame, exact: bool = False) -> DataFrame:
-    """``(chunk_id, term, tf, in_meta, in_head)``; one map-side aggregation for body, source and heading together."""
+    """``(chunk_id, term, tf, in_meta, in_head, length)``; one map-side aggregation for body, source and heading together."""
     heading = F.coalesce("heading", F.lit(""))
-    body = F.transform(content_terms(F.col("text"), exact), lambda t: F.struct(t.alias("term"), F.lit(1).alias("b"), F.lit(0).alias("m"), F.lit(0).alias("h")))
+    body = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("b"), F.lit(0).alias("m"), F.lit(0).alias("h")))
     meta = F.transform(term_set(F.concat_ws(" ", "source", heading), exact), lambda t: F.struct(t.alias("term"), F.lit(0).alias("b"), F.lit(1).alias("m"), F.lit(0).alias("h")))
     head = F.transform(term_set(heading, exact), lambda t: F.struct(t.alias("term"), F.lit(0).alias("b"), F.lit(0).alias("m"), F.lit(1).alias("h")))
-    each = chunks.select("chunk_id", F.explode(F.concat(body, meta, head)).alias("e"))
-    return each.groupBy("chunk_id", "e.term").agg(F.sum("e.b").cast("int").alias("tf"), F.max("e.m").alias("in_meta"), F.max("e.h").alias("in_head"))
+    each = chunks.withColumn("terms", content_terms(F.col("text"), exact)).select("chunk_id", F.size("terms").alias("length"), F.explode(F.concat(body, meta, head)).alias("e"))
+    return each.groupBy("chunk_id", "e.term").agg(F.sum("e.b").cast("int").alias("tf"), F.max("e.m").alias("in_meta"), F.max("e.h").alias("in_head"), F.max("length").alias("length"))
 
 
 def corpus_stats(chunks: DataFrame, exact: bool = False) -> DataFrame:
@@ -48,8 +48,7 @@ def build_index(chunks: DataFrame, exact: bool = False) -> Index:
     """Weights hold everything but the question: idf and the length-normalised frequency."""
     bags = term_bags(chunks, exact)
     stats = corpus_stats(chunks, exact)
-    lengths = chunks.select("chunk_id", F.size(content_terms(F.col("text"), exact)).alias("length"))
-    rated = bags.join(lengths, "chunk_id").join(document_frequency(bags), "term", "left").crossJoin(F.broadcast(stats))  # stats: one row
+    rated = bags.join(document_frequency(bags), "term", "left").crossJoin(F.broadcast(stats))  # stats: one row
     df = F.coalesce("df", F.lit(0))
     idf = F.log(1 + (F.col("n_chunks") - df + 0.5) / (df + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average_length")))
