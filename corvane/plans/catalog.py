@@ -351,9 +351,62 @@ def segment_select(spark, sf_dir):
     return _per_question(_hits(spark, sf_dir), lambda q, hits: [(x.chunk_id, x.quote) for x in E.sentences(q, hits)], "question_id long, chunk_id string, quote string")
 
 
-@query()
+# (question, source, heading, page, position, score, confidence, text)
+SECTIONS = [
+    ("What are the features of the tool?", "guide.pdf", None, 1, 0, 1.0, 1.0, "intro\n1. Features of the tool\nlogin\nsearch"),
+    ("What are the features of the tool?", "guide.pdf", None, 2, 1, 0.5, 0.4, "export\nsharing\n\nother text"),
+    ("What are the features of the tool?", "other.pdf", None, 1, 2, 0.4, 0.3, "Features of the tool\nnone at all"),
+    ("Which topics are covered in chemistry?", "course.md", None, None, 3, 0.9, 0.8, "Topics covered in chemistry\n- acids\n- bases\n2. Grading\nexams"),
+    ("Explain photosynthesis", "talk.pptx", "Photosynthesis", 4, 5, 0.9, 0.9, "Photosynthesis\nplants use light"),
+    ("Compare the advantages", "x.md", None, None, 6, 0.2, 0.1, "nothing here"),
+]
+
+
+@query("""SELECT * FROM (VALUES
+(0, '1. Features of the tool' || chr(10) || 'login' || chr(10) || 'search | export' || chr(10) || 'sharing'),
+(1, 'Topics covered in chemistry' || chr(10) || '- acids' || chr(10) || '- bases'),
+(2, 'Photosynthesis' || chr(10) || 'plants use light'), (3, '')) v(id, quotes)""")
 def section_quotes(spark, sf_dir):
-    return _per_question(_hits(spark, sf_dir), lambda q, hits: [(x.chunk_id, x.quote) for x in E.sections(q, hits)], "question_id long, chunk_id string, quote string")
+    """Slides, sections and their continuation over inline results."""
+    asked = list(dict.fromkeys(r[0] for r in SECTIONS))
+    rows = [(asked.index(q), q, f"c{i}", *more) for i, (q, *more) in enumerate(SECTIONS)]
+    frame = spark.createDataFrame(rows, "id int, question string, chunk_id string, source string, heading string, page int, position int, score double, confidence double, text string")
+
+    def work(key, pdf):
+        hits = [E.Hit(r.chunk_id, r.source, r.text, None if pd.isna(r.page) else int(r.page), r.heading, r.position, r.score, r.confidence) for r in pdf.sort_values("position").itertuples()]
+        quotes = E.slide(key[1], hits) or E.sections(key[1], hits)
+        return pd.DataFrame({"id": [key[0]], "quotes": [" | ".join(q.quote for q in quotes)]})
+
+    return frame.groupBy("id", "question").applyInPandas(work, "id int, quotes string")
+
+
+FORMATS = [
+    "Tools:\nhammer\nsaw\nUse them well. Always.", "one\ntwo", "Entry 1:\nPrompt: Q\nAnswer: yes\nindeed", "Safety Rules\n• wear gloves\n• T est twice", "Plain  text   of one line.", "2. Scope\nFirst thing\nSecond thing\nThis is a sentence. It ends. It ends.",
+]
+
+
+@query("""SELECT id, replace(t, '/', chr(10)) AS answer FROM (VALUES (0, 'Tools:/- hammer/- saw/Use them well. Always.'), (1, 'one two'), (2, 'yes indeed'), (3, 'Safety Rules/- wear gloves/- Test twice'),
+(4, 'Plain text of one line.'), (5, '2. Scope//First thing//Second thing/This is a sentence. It ends.')) v(id, t)""")
+def answer_format(spark, sf_dir):
+    return _inline(spark, FORMATS).select("id", A.drop_repeats_column(A.format_quote_column("line")).alias("answer"))
+
+
+@query()
+def document_layout(spark, sf_dir):
+    """Every document laid out for reading, repeated sentences dropped."""
+    return table(spark, sf_dir, "documents").select("doc_id", A.drop_repeats_column(A.format_quote_column("text")).alias("answer"))
+
+
+@query()
+def document_segments(spark, sf_dir):
+    """Answer-sized spans of every document."""
+
+    def work(frames):
+        for pdf in frames:
+            rows = [(i, k, s) for i, t in zip(pdf["doc_id"], pdf["text"]) for k, s in enumerate(E.segments(t or ""))]
+            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "segment"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(work, "doc_id long, ordinal long, segment string")
 
 
 @query("SELECT b.item_id, d.doc_id, d.source, instr(d.text, b.text) - 1 AS first_offset FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
