@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cuckoo import DigestIndex
-from .storage import materialize
+from .storage import fresh_name, materialize
 
 ROWS_PER_BUCKET = 20_000
 INDEX_SCHEMA = "bucket int, digest binary, keep_id long, group_size long"
@@ -94,10 +94,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rows that repeat both id and text count once."""
-    stay = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    rows = docs.withColumn("__digest_of_row", digest_of(F.col("text")))
-    match = rows["doc_id"].eqNullSafe(stay["__id"]) & (rows["__digest_of_row"] == stay["__digest"])
-    return rows.join(stay, match, "left_semi").dropDuplicates(["doc_id", "__digest_of_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = exact_groups(docs).where("kept").select("doc_id", "digest").distinct()
+    own = fresh_name("digest", docs.columns)
+    rows = docs.withColumn(own, digest_of(F.col("text")))
+    match = rows["doc_id"].eqNullSafe(stay["doc_id"]) & (rows[own] == stay["digest"])
+    return rows.join(stay, match, "left_semi").dropDuplicates(["doc_id", own]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

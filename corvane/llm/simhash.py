@@ -317,7 +317,7 @@ def similar_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 11, check_
     equal = rows.join(nodes, "fp").where("doc_id != least_id").select("doc_id", "least_id")
     pairs = materialize(apart.union(equal).toDF("a", "b").distinct(), "pairs")
     involved = pairs.select("a").union(pairs.select("b")).distinct().toDF("involved")
-    sets = materialize(_shingle_sets(docs.join(involved, F.col("doc_id") == F.col("involved"), "left_semi"), check_shingle).dropDuplicates(["doc_id"]), "sets")
+    sets = materialize(_shingle_sets(docs.join(involved, docs["doc_id"] == involved["involved"], "left_semi"), check_shingle).dropDuplicates(["doc_id"]), "sets")
     with_sets = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return connected_components(_similar(with_sets, similarity))
 

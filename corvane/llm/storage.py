@@ -37,3 +37,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores until no column has it."""
+    while name in taken:
+        name += "_"
+    return name

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -17,7 +18,9 @@ def test_registry_covers_the_ten():
 def sf_dir(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("sf")
     base = " ".join(f"word{i}" for i in range(200))
-    rows = [(i, f"text {i} " + " ".join(f"w{(i * 7 + j) % 500}" for j in range(80)) + (" gruk" if i % 4 == 0 else "")) for i in range(200)]
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(80)) + (" gruk" if i % 4 == 0 else "")) for i in range(200)]
     rows += [(500, base), (501, base), (502, base.replace("word100", "altered")), (503, "write to a.b@c.org please"), (504, None), (505, "g r u k is here")]
     frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -47,7 +50,8 @@ def test_odd_and_empty_tables(spark, odd, empty, no_labels, tmp_path):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), name)
         if rows is odd:
-            assert docs.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in ROWS})
+            # word-free texts are near-duplicates of each other
+            assert docs.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "").strip(" ") for _, t in ROWS})
         else:
             assert docs.count() == 0
 
