@@ -71,15 +71,17 @@ def embed_missing(store: Store, model: str, texts: DataFrame, make: Callable[[],
     wanted = texts.select("text").withColumn("text_hash", text_hash(model, F.col("text")))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = make()
+        provider = None
         try:
             for frame in frames:
                 for at in range(0, len(frame), batch):
+                    provider = provider or make()
                     part = frame.iloc[at : at + batch]
                     found = checked(provider.embed_documents(part["text"].tolist()), len(part))
                     yield pd.DataFrame({"text_hash": part["text_hash"].tolist(), "vector": found})
         finally:
-            provider.close()
+            if provider:
+                provider.close()
 
     store.put_vectors(model, missing(wanted, store.vectors(model)).select("text_hash", "text").mapInPandas(work, VECTORS))
     return wanted.join(store.vectors(model), "text_hash").select("text", "vector")
