@@ -94,11 +94,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rows that repeat both id and text count once."""
-    stay = exact_groups(docs).where("kept").select("doc_id", "digest").distinct()
+    stay = materialize(exact_groups(docs).where("kept").groupBy("doc_id", "digest").count(), "stay")
     own = fresh_name("digest", docs.columns)
     rows = docs.withColumn(own, digest_of(F.col("text")))
     match = rows["doc_id"].eqNullSafe(stay["doc_id"]) & (rows[own] == stay["digest"])
-    return rows.join(stay, match, "left_semi").dropDuplicates(["doc_id", own]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rows.join(stay, match, "left_semi")
+    if stay.where("count > 1").head(1):  # only then do texts need a second shuffle
+        kept = kept.dropDuplicates(["doc_id", own])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
