@@ -84,7 +84,9 @@ class Engine:
             enter("embed")
             chunks = chunks.join(embed_missing(store, embedding_model, chunks, make_embedder).distinct(), "text", "left")
         enter("index")
-        return cls(build_index(chunks.persist(), exact=True), generator, neighbours, make_embedder() if make_embedder else None)
+        index = build_index(chunks.persist(), exact=True)
+        index.postings.persist(), index.stats.persist()
+        return cls(index, generator, neighbours, make_embedder() if make_embedder else None)
 
     def save(self, path: str) -> None:
         save_index(self.index, path)
@@ -115,7 +117,8 @@ class Engine:
     def close(self) -> None:
         if not self.closed:
             self.closed = True
-            self.index.chunks.unpersist()
+            for table in (self.index.chunks, self.index.postings, self.index.stats):
+                table.unpersist()
             for part in (self.generator, self.embedder):
                 if part is not None and not isinstance(part, type) and hasattr(part, "close"):
                     part.close()
