@@ -85,7 +85,10 @@ class Engine:
             chunks = chunks.join(embed_missing(store, embedding_model, chunks, make_embedder).distinct(), "text", "left")
         enter("index")
         index = build_index(chunks.persist(), exact=True)
-        index.postings.persist(), index.stats.persist()
+        if store:  # questions then plan from files, not from everything that made them
+            save_index(index, f"{cache}/index/{key}")
+            chunks.unpersist()
+            index = load_index(spark, f"{cache}/index/{key}")
         return cls(index, generator, neighbours, make_embedder() if make_embedder else None)
 
     def save(self, path: str) -> None:
@@ -117,8 +120,7 @@ class Engine:
     def close(self) -> None:
         if not self.closed:
             self.closed = True
-            for table in (self.index.chunks, self.index.postings, self.index.stats):
-                table.unpersist()
+            self.index.chunks.unpersist()
             for part in (self.generator, self.embedder):
                 if part is not None and not isinstance(part, type) and hasattr(part, "close"):
                     part.close()
