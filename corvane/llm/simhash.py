@@ -15,8 +15,8 @@
    dealt to blocks, and each two blocks are compared in a task of their own.
 6. Connected components by star contraction; a component is named by its smallest ``doc_id``.
 
-``similar_groups`` adds an exact check for coarse searches: links within ``max_bits`` count only if the texts' word shingles
-have the wanted Jaccard similarity.
+``similar_groups`` links texts by the Jaccard similarity of their word shingles, without fingerprints: a prefix-filtered set join that finds
+every pair, whatever the distance of their fingerprints.
 
 Defined results: null and word-free texts have fingerprint zero, linked like any other; rows with a null ``doc_id`` are
 reported, and a component of null ids only has a null ``component_id``; repeated rows are reported each; an empty table gives no
@@ -41,6 +41,7 @@ BITS = 64
 GROUP = 256
 PARTS = range(1, 7)
 KEY_COST = 300  # of writing a key, in pairs compared
+SAMPLE_ROWS, FREQUENT = 10_000, 200_000  # rows looked at for frequent shingles, and how many shingles are kept
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -272,13 +273,58 @@ def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the word shingles."""
+    """Sorted distinct 64-bit hashes of the word shingles."""
     import xxhash
 
     words = text.encode().lower().split()
-    digest = xxhash.xxh32_intdigest
+    digest = xxhash.xxh64_intdigest
     grams = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
-    return np.unique(np.fromiter((digest(b" ".join(g)) for g in grams), np.uint32))
+    return np.unique(np.fromiter((digest(b" ".join(g)) for g in grams), np.uint64))
+
+
+def frequent_shingles(docs: DataFrame, shingle: int, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample of the rows, sorted, and their numbers. They decide the order in a prefix only, never a result."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py() or "", shingle) for t in batch.column("text")]
+            grams, n = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
+
+    share = math.ceil(1000 * rows / max(docs.count(), 1))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < share)
+    counted = sample.select("text").mapInArrow(scan, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2")
+    found = counted.orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
+    grams, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
+def prefix(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, so many that sets of this similarity share one: all but a number that another set must share a part of."""
+    seen, n = frequent
+    weight = np.zeros(len(grams), np.int64)
+    if len(seen):
+        at = np.minimum(np.searchsorted(seen, grams), len(seen) - 1)
+        weight = np.where(seen[at] == grams, n[at], 0)
+    return grams[np.lexsort((grams, weight))[: len(grams) - math.ceil(similarity * len(grams) - 1e-6) + 1]]
+
+
+def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(key, id, at, size)``: each shingle in a document's prefix with its place there, and the size of the document's set."""
+    frequent = frequent_shingles(docs, shingle)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py() or "", shingle) for t in batch.column("text")]
+            keys = [prefix(grams, frequent, similarity) for grams in sets]
+            lengths = np.array([*map(len, keys)], np.int64)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            at = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths] or [np.zeros(0, np.int32)])
+            columns = [np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64), np.repeat(ids, lengths), at, np.repeat(np.array([*map(len, sets)], np.int32), lengths)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int64()), *map(pa.array, columns[2:])], ["key", "id", "at", "size"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, "key long, id long, at int, size int")
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -287,7 +333,7 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
             sets = [shingle_set(t.as_py() or "", shingle).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "grams"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(scan, "doc_id long, grams binary")
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, grams binary")
 
 
 def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -295,7 +341,7 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -303,23 +349,42 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 11, check_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of ids whose texts are similar."""
+    involved = pairs.select("a").union(pairs.select("b")).distinct().toDF("involved")
+    sets = materialize(_shingle_sets(docs.join(involved, docs["doc_id"] == involved["involved"], "left_semi"), shingle), "sets")
+    return materialize(_similar(pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b"), similarity).distinct(), "verified")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(node, root)`` of ids: every document linked to a smaller one, with the smallest of its group.
 
-    Links are those of a minimum spanning forest of the fingerprints within ``max_bits``, and of each fingerprint's documents to its
-    first, whose texts are similar. Rows with a null ``doc_id`` are never linked; rows that repeat an id count as one document.
+    Links are all pairs of documents whose sets of word shingles have at least this Jaccard similarity; none is missed. Sets so similar share
+    a shingle of their prefixes, and at the first one both have as many left as they must share. Each key's documents are first compared to
+    the key's smallest id; then every two that share a key and are not yet in one group are compared, which leaves out no pair that
+    could change a group. Rows with a null ``doc_id`` are never linked; an id's rows are one document, linked where any of its texts is.
     """
-    rows = materialize(fingerprints(docs.where("doc_id IS NOT NULL"), shingle), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    links = materialize(near_links(nodes, max_bits, 4 * GROUP).distinct(), "links")
-    a, b = nodes.toDF("a", "a_id"), nodes.toDF("b", "b_id")
-    apart = links.join(a, "a").join(b, "b").select("a_id", "b_id")
-    equal = rows.join(nodes, "fp").where("doc_id != least_id").select("doc_id", "least_id")
-    pairs = materialize(apart.union(equal).toDF("a", "b").distinct(), "pairs")
-    involved = pairs.select("a").union(pairs.select("b")).distinct().toDF("involved")
-    sets = materialize(_shingle_sets(docs.join(involved, docs["doc_id"] == involved["involved"], "left_semi"), check_shingle).dropDuplicates(["doc_id"]), "sets")
-    with_sets = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return connected_components(_similar(with_sets, similarity))
+    docs = docs.where("doc_id IS NOT NULL").selectExpr("cast(doc_id as long) doc_id", "text")
+    keys = materialize(_prefixes(docs, shingle, similarity), "keys")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at", "size")).alias("first")).where("n > 1")
+    shared = materialize(keys.join(shared, "key"), "shared")
+    share = similarity / (1 + similarity)
+
+    def can_meet(at, size, other_at, other_size):
+        return F.least(size - at, other_size - other_at) >= F.ceil(share * (size + other_size) - 1e-6)
+
+    star = shared.where("id != first.id").where(can_meet(F.col("at"), F.col("size"), F.col("first.at"), F.col("first.size")))
+    stars = materialize(star.select(F.col("id").alias("a"), F.col("first.id").alias("b")).distinct(), "stars")
+    links = _verified(docs, stars, shingle, similarity)
+    roots = connected_components(links)
+    named = shared.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "at", "size", F.coalesce("root", "id").alias("root"))
+    named = materialize(named, "named")
+    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    apart = materialize(named.join(apart, "key", "left_semi"), "apart")
+    a, b = apart.toDF("key", "a", "a_at", "a_size", "a_root"), apart.toDF("key", "b", "b_at", "b_size", "b_root")
+    meet = a.join(b, "key").where("a > b AND a_root != b_root").where(can_meet(F.col("a_at"), F.col("a_size"), F.col("b_at"), F.col("b_size")))
+    others = materialize(meet.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "others")
+    return connected_components(links.union(_verified(docs, others, shingle, similarity)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

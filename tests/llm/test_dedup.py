@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -185,3 +186,32 @@ def test_similar_groups_check_the_texts(spark, odd, empty):
     got = {r.node: r.root for r in simhash.similar_groups(frame(spark, [(1, base), (2, near), (3, half), (4, base), (5, "unrelated")])).collect()}
     assert got == {2: 1, 4: 1}
     assert simhash.similar_groups(odd).count() >= 1 and simhash.similar_groups(empty).count() == 0
+
+
+def brute_similar(rows):
+    sets = {d: simhash.shingle_set(t, 5).tolist() for d, t in rows}
+    ids, root = sorted(sets), {}
+    for i in ids:
+        root[i] = i
+    for a, b in itertools.combinations(ids, 2):
+        x, y = set(sets[a]), set(sets[b])
+        if len(x & y) >= 0.8 * len(x | y) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    return {i: r for i, r in root.items() if i != r}
+
+
+def test_similar_pairs_are_found_past_dissimilar_ones(spark):
+    """Families in which fingerprints lie close but many texts are dissimilar: a forest of nearest fingerprints drops similar pairs."""
+    rng = random.Random(5)
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for _ in range(12):
+            words = list(base)
+            for at in rng.sample(range(120), rng.randint(1, 3)):
+                words[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    got = {r.node: r.root for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert got == brute_similar(rows) and got
