@@ -35,8 +35,6 @@ from .storage import materialize, read_table
 SAMPLE_ROWS = 20_000
 PREFIXES = range(3, 13)
 LEVELS = 3
-MAX_CANDIDATES, MAX_LEARNT = 10_000, 1_000
-MAX_CLUES = 300
 LEAST_TEXTS = 4
 LEAST_SHARE, SURE_SHARE = 0.5, 0.75
 THRESHOLD = 0.7
@@ -249,13 +247,12 @@ def _prefix_rows(sample: DataFrame, counts: np.ndarray, only: frozenset | None =
 def learn_clues(sample: DataFrame, counts: np.ndarray) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
     """Prefixes; clues as (prefix's index, least number); the weights of the logistic model of (1, clues)."""
     in_toxic = _prefix_rows(sample.where("toxic = 1"), counts).select(F.explode("found").alias("prefix", "n")).groupBy("prefix").count()
-    frequent = in_toxic.where(F.col("count") >= LEAST_TEXTS).orderBy(F.desc("count"), "prefix").limit(MAX_CANDIDATES)
-    only = frozenset(r["prefix"] for r in frequent.collect())
+    only = frozenset(in_toxic.where(F.col("count") >= LEAST_TEXTS).select("prefix").toArrow().column("prefix").to_pylist())
     rows = materialize(_prefix_rows(sample, counts, only), "prefixes")
     level = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("level")
     spread = rows.select(F.explode("found").alias("prefix", "n"), "toxic").select("prefix", level, "toxic")
     table = spread.groupBy("prefix", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("hits")).where(f"hits >= {LEAST_TEXTS} AND hits >= {LEAST_SHARE} * n")
-    candidates = [(r["prefix"], r["level"]) for r in table.orderBy(F.desc(F.expr("hits * hits / n")), "prefix", "level").limit(MAX_LEARNT).collect()]
+    candidates = sorted((r["prefix"], r["level"]) for r in table.select("prefix", "level").collect())
     at: dict[str, list[tuple[int, int]]] = {}
     for i, (prefix, least) in enumerate(candidates):
         at.setdefault(prefix, []).append((i, least))
@@ -268,40 +265,44 @@ def learn_clues(sample: DataFrame, counts: np.ndarray) -> tuple[list[str], list[
             packed = [row.tobytes() for row in np.packbits(bits, axis=1)]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column("toxic")], ["fired", "toxic"])
 
-    held = rows.mapInArrow(fire, "fired binary, toxic int").toArrow()  # at most SAMPLE_ROWS rows of MAX_LEARNT bits
+    held = rows.mapInArrow(fire, "fired binary, toxic int").toArrow()  # at most SAMPLE_ROWS rows of a bit a candidate
     toxic = held.column("toxic").to_numpy().astype(float)
-    member = np.zeros((len(toxic), len(candidates)), bool)
-    if member.size:
-        packed = np.frombuffer(b"".join(held.column("fired").to_pylist()), np.uint8).reshape(len(toxic), -1)
-        member = np.unpackbits(packed, axis=1, count=len(candidates)).astype(bool)
-    return _choose(candidates, member, toxic)
+    by_row = np.frombuffer(b"".join(held.column("fired").to_pylist()), np.uint8).reshape(len(toxic), -(-len(candidates) // 8))
+    blocks = [np.packbits(np.unpackbits(by_row[:, k : k + 128], axis=1).T, axis=1) for k in range(0, by_row.shape[1], 128)]
+    return _choose(candidates, np.concatenate([*blocks, np.zeros((0, -(-len(toxic) // 8)), np.uint8)])[: len(candidates)], toxic)
 
 
 def _choose(candidates: list[tuple[str, int]], member: np.ndarray, toxic: np.ndarray) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
-    n, hits = member.sum(axis=0), member[toxic > 0].sum(axis=0).astype(float)
-    bound = _wilson(hits, n) if len(candidates) else np.zeros(0)
-    open_rows, taken = np.ones(len(toxic), bool), []
+    """``member``: a row a candidate, of packed bits: the sample's rows that it marks."""
+    is_toxic = np.packbits(toxic > 0)
+    size = lambda rows: np.bitwise_count(rows).sum(axis=-1, dtype=np.int64)
+    bound = _wilson(size(member & is_toxic).astype(float), size(member)) if len(candidates) else np.zeros(0)
+    open_rows, taken, rows = np.full(member.shape[1], 255, np.uint8), [], np.empty((64, member.shape[1]), np.uint8)
     for best in sorted(np.flatnonzero(bound >= LEAST_SHARE), key=lambda i: (-bound[i], -len(candidates[i][0]), candidates[i])):
-        new = member[:, best] & open_rows
-        if any(not (member[:, best] & ~member[:, other]).any() for other in taken):
+        if (~(member[best] & ~rows[: len(taken)]).any(axis=1)).any():
             continue  # says nothing that one taken clue does not say
-        if bound[best] >= SURE_SHARE or toxic[new].sum() >= max(2.0, LEAST_SHARE * new.sum()):
+        new = member[best] & open_rows
+        if bound[best] >= SURE_SHARE or size(new & is_toxic) >= max(2.0, LEAST_SHARE * size(new)):
+            if len(taken) == len(rows):
+                rows = np.concatenate([rows, np.empty_like(rows)])
+            rows[len(taken)] = member[best]
             taken.append(best)
-            open_rows &= ~member[:, best]
-        if len(taken) == MAX_CLUES:
-            break
+            open_rows &= ~member[best]
     prefixes = sorted({candidates[i][0] for i in taken})
-    clues = [(prefixes.index(candidates[i][0]), candidates[i][1]) for i in taken]
-    x = np.concatenate([np.ones((len(toxic), 1)), member[:, taken].astype(float)], axis=1)
-    return prefixes, clues, _fit(x, toxic)
+    place = {prefix: i for i, prefix in enumerate(prefixes)}
+    clues = [(place[candidates[i][0]], candidates[i][1]) for i in taken]
+    return prefixes, clues, _fit(np.unpackbits(rows[: len(taken)], axis=1, count=len(toxic)).T, toxic)
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps, with a small ridge."""
+def _fit(marks: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression on (1, marks) by Newton steps, with a small ridge; rows alike in marks and class count as one with a weight."""
+    packed = np.packbits(np.concatenate([marks, (y > 0)[:, None]], axis=1), axis=1)
+    _, first, n = np.unique(packed, axis=0, return_index=True, return_counts=True)
+    x, y = np.concatenate([np.ones((len(first), 1)), marks[first]], axis=1), y[first]
     w, ridge = np.zeros(x.shape[1]), 0.1 * np.eye(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (p - y) + ridge @ w)
+        w -= np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + ridge, x.T @ (n * (p - y)) + ridge @ w)
     return w
 
 
@@ -309,6 +310,9 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """``(doc_id, held_out, score, predicted, n_clues)``: one row a row of ``docs``."""
     counts = count_characters(docs)
     prefixes, clues, weights = learn_clues(materialize(labelled_sample(docs, labels, sample_rows), "sample"), counts)
+    at: dict[int, list[tuple[int, int]]] = {}
+    for k, (prefix, least) in enumerate(clues):
+        at.setdefault(prefix, []).append((k + 1, least))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(counts, prefixes)
@@ -316,7 +320,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             logits, n_clues = [], []
             for text in batch.column("text"):
                 found = restorer.count_clues(text.as_py() or "")
-                fired = [k + 1 for k, (prefix, least) in enumerate(clues) if found[prefix] >= least] if found else []
+                fired = sorted(k for prefix, n in found.items() for k, least in at[prefix] if n >= least)
                 logits.append(weights[0] + weights[fired].sum())
                 n_clues.append(len(fired))
             p = 1 / (1 + np.exp(-np.array(logits)))

@@ -66,6 +66,13 @@ def test_held_out_accuracy_and_odd_rows(spark, odd, empty, no_labels):
     assert toxicity.score(empty, no_labels).count() == 0
 
 
+def test_every_sure_clue_is_learnt(spark):
+    starts = ["".join(s) for s in itertools.product("bdgkmprtvz", "aeiou", "bdgkmprtvz")][:400]
+    rows = [(f"{s}ukolimarento tree house", 1) for s in starts for _ in range(12)] + [("tree house", 0)] * 6000
+    prefixes, clues, weights = toxicity.learn_clues(spark.createDataFrame(rows, "text string, toxic int"), COUNTS)
+    assert {p[:3] for p in prefixes} == set(starts) and len(clues) == len(weights) - 1 == 400
+
+
 def test_trigram_counts(spark):
     got = toxicity.count_characters(frame(spark, [(1, "ab"), (2, None), (3, "Zé")]))
     want = np.zeros_like(got)
