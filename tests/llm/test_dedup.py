@@ -215,3 +215,15 @@ def test_similar_pairs_are_found_past_dissimilar_ones(spark):
     rng.shuffle(rows)
     got = {r.node: r.root for r in simhash.similar_groups(frame(spark, rows)).collect()}
     assert got == brute_similar(rows) and got
+
+
+def test_block_edits_far_apart_in_bits_are_found(spark):
+    """One block added to or exchanged in a long text: similar at 0.8, but fingerprints often differ in more than 11 bits."""
+    rng, rows = random.Random(7), []
+    for i in range(150):
+        words = [f"{rng.randrange(10**6)}" for _ in range(600)]
+        at, block = rng.randrange(500), [f"{rng.randrange(10**6)}" for _ in range(62 if i % 2 else 140)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:at] + block + words[at + (len(block) if i % 2 else 0) :]))]
+    far = [i for i in range(0, 300, 2) if ((brute_fingerprint(rows[i][1]) ^ brute_fingerprint(rows[i + 1][1])).bit_count()) > 11]
+    assert far
+    assert {r.node: r.root for r in simhash.similar_groups(frame(spark, rows)).collect()} == {i + 1: i for i in range(0, 300, 2)}
