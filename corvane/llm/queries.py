@@ -16,7 +16,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op3_personal_data": pii.query,
     "op4_line_dedup": line_dedup.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
 }

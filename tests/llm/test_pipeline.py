@@ -14,6 +14,10 @@ def test_registry_covers_the_ten():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
+def test_oracles_are_sql():
+    assert all(isinstance(sql, str) for sql in queries.ORACLE_SQL.values())
+
+
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("sf")
