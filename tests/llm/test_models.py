@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+import sentencepiece
 from tokenizers import Tokenizer
 
 from corvane.llm import packing, segmentation, toxicity
@@ -131,49 +132,97 @@ def test_every_capacity_binds(rule):
 
 
 V = segmentation.Vocabulary(default_path("piece_bpe_32k.model"), 4)
+ORDER = lambda path: (-path[0], len(path[1]), path[1][::-1])
 
 
-def brute_paths(word):
-    found = []
-
-    def go(i, score, ids):
-        if i == len(word):
-            found.append((score, ids))
-            return
+def model_edges(text):
+    """Every edge of a whole text's lattice, from the model file alone."""
+    model = sentencepiece.SentencePieceProcessor(model_file=default_path("piece_bpe_32k.model"))
+    kinds = {i: model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    by_piece = {p: i for i, p in kinds.items()}
+    byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(model.get_piece_size()) if model.is_byte(i)}
+    marked = ("\u2581" + text.replace(" ", "\u2581")) if text else ""
+    for i in range(len(marked)):
         known = False
-        for j in range(i + 1, len(word) + 1):
-            if p := V.pieces.get(word[i:j]):
+        for j in range(i + 1, min(len(marked), i + 48) + 1):
+            if marked[i:j] in by_piece:
                 known = known or j == i + 1
-                go(j, score + p[0], (*ids, int.from_bytes(p[1], "little")))
+                yield i, j, model.get_score(by_piece[marked[i:j]]), (by_piece[marked[i:j]],)
         if not known:
-            go(i + 1, score + V.unknown, ids + tuple(V.bytes[b] for b in word[i].encode()))
+            yield i, i + 1, V.unknown, tuple(byte[b] for b in marked[i].encode())
+
+
+def every_path(text):
+    """All segmentations, in order."""
+    edges, found, size = list(model_edges(text)), [], len(text) + 1 if text else 0
+
+    def go(at, score, ids):
+        if at == size:
+            found.append((score, ids))
+        for i, j, own, piece in edges:
+            if i == at:
+                go(j, score + own, ids + piece)
 
     go(0, 0.0, ())
-    return sorted(found, key=lambda p: -p[0])
+    return sorted(found, key=ORDER)
+
+
+def n_best_table(text, n=4):
+    """The n best by a plain table of the n best of every prefix."""
+    size = len(text) + 1 if text else 0
+    held = [[(0.0, ())]] + [[] for _ in range(size)]
+    for i, j, own, piece in model_edges(text):
+        held[j] = sorted(held[j] + [(score + own, ids + piece) for score, ids in held[i]], key=ORDER)[:n]
+    return held[size]
+
+
+SHORT = ["", " ", "  ", "the", "thorreou.", "a", "a a a", "   in", "\n日x", "a\nb", "réeux,", "aaaaaaaa", "é", "▁x ▁", "the the the"]
+TEXTS = SHORT + ["  x  y ", "né\nà ß", "hello world of tokens tokens tokens", "日本 語 🙂🙂", "a " * 40, "x" * 90, "ab" * 60 + " tail, " + "The cat sat. " * 30, "z" * 70 + "\n" + "q9-" * 40]
+
+
+@pytest.mark.parametrize("text", SHORT)
+def test_n_best_by_brute_force(text):
+    want = every_path(text)[:4]
+    assert V.segment(text) == want == n_best_table(text)
+
+
+def test_random_texts_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(60):
+        text = "".join(rng.choice("aabe  the\né日▁") for _ in range(rng.randint(0, 8)))
+        assert V.segment(text) == every_path(text)[:4]
+
+
+def test_whole_texts_in_the_query(spark):
+    """Scores, pieces, ids and decoded texts of all n segmentations, against the table."""
+    got = {r.doc_id: r for r in segmentation.best_segmentations(frame(spark, list(enumerate(TEXTS)))).collect()}
+    assert len(got) == len(TEXTS)
+    for i, text in enumerate(TEXTS):
+        want, r = n_best_table(text), got[i]
+        assert list(r.scores) == [s for s, _ in want] and list(r.n_pieces) == [len(ids) for _, ids in want]
+        assert list(r.ids_crc32) == [zlib.crc32(np.array(ids, "<u4").tobytes()) for _, ids in want]
+        assert set(r.decoded_crc32) == {zlib.crc32(text.replace("▁", " ").encode())}
+        assert all(V.decode(ids) == text.replace("▁", " ") for _, ids in V.segment(text))
 
 
-@pytest.mark.parametrize("word", ["▁the", "▁thorreou.", "▁a", "▁", "▁▁▁in", "▁\n日x", "▁réeux,", "▁aaaaaa"])
-def test_n_best_by_brute_force(word):
-    want = brute_paths(word)
-    got = V.search(word)
-    assert [s for s, _ in got] == [s for s, _ in want[:4]] and {i for _, i in got} <= {i for _, i in want}
-    score, ids, loss, n = V.word(word)
-    assert score == want[0][0] and n == len(ids) // 4 and loss == (want[0][0] - want[1][0] if len(want) > 1 else float("inf"))
+@pytest.mark.parametrize("n", [1, 2, 7])
+def test_other_numbers_of_segmentations(n):
+    v = segmentation.Vocabulary(default_path("piece_bpe_32k.model"), n)
+    for text in ("the the the the the the the the the", "a b\nc", "hello world", "aaaaaa aaaaaa"):
+        assert v.segment(text) == n_best_table(text, n)
 
 
-@pytest.mark.parametrize("text", ["", "a b", "  x  y ", "né\nà ß", "hello world of tokens tokens tokens", "日本 語"])
-def test_summaries_and_round_trips(text):
-    paths = V.segment(text)
-    assert all(V.decode(ids) == text for _, ids in paths) and len({i for _, i in paths}) == len(paths)
-    scores, n, crc = V.summary(text)
-    assert scores == pytest.approx([s for s, _ in paths])
-    assert any(s == pytest.approx(scores[0]) and len(i) == n and zlib.crc32(np.array(i, "<u4").tobytes()) == crc for s, i in paths)
+def test_forgetting_units_changes_nothing():
+    small = segmentation.Vocabulary(default_path("piece_bpe_32k.model"), 4)
+    small.CACHE = 3
+    assert [small.summaries([t]) for t in TEXTS] == [[row] for row in V.summaries(TEXTS)]
 
 
 def test_segmentation_odd_rows(odd, empty):
     got = segmentation.best_segmentations(odd).collect()
     assert len(got) == len(ROWS) and all(list(r.scores) == sorted(r.scores, reverse=True) for r in got)
-    assert [list(r.scores) for r in got if r.n_pieces == 0] == [[0.0]] * 3
+    assert [list(r.scores) for r in got if r.n_pieces == [0]] == [[0.0]] * 3
+    assert {len(r.scores) for r in got if r.n_pieces != [0]} == {4}
     assert segmentation.best_segmentations(empty).count() == 0
     small = segmentation.round_trip(odd.where("doc_id IN (3, 5, 7)"))
     texts = {d: t for d, t in ROWS if d in (3, 5, 7)}
