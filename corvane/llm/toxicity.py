@@ -9,12 +9,14 @@
 3. Restoration: tokens with look-alike symbols, repeated letters or spaced-out letters become a lattice of characters (a symbol
    may be any letter it resembles, a run may be one letter, a separator may be nothing or a boundary). Viterbi search finds
    the likeliest reading under the channel's costs and the character model, which mixes the corpus trigrams with
-   the letter sequences of the clues. Plain tokens have one path only and stay as they are.
-4. Score: a logistic model of the clues in the restored text, fitted on the same sample.
-
-Only the text enters a score. Defined results: null and empty texts get the score of a text without clues; labels with
-null ``toxic`` are not used; repeated rows get equal scores; without labels nothing is toxic; an empty table gives no rows; other
-columns are ignored.
+   the letter sequences of the clues. Plain tokens have one path only and stay as they are. Tokens and spaced runs of any length are
+   decoded whole. Four digits in a row are a number and four wildcards in a row hide too much: both part a token. A token
+   joined by ``-`` or ``_`` is read part by part, or as one if that shows more clues or its parts are single letters.
+4. Score: a logistic model of the clues in the restored text, fitted on the same sample, restored in the same way.
+
+Only the text enters a score. Defined results: null and empty texts get the score of a text without clues; very long texts are read whole;
+labels with null ``toxic`` are not used; repeated rows get equal scores; equally likely readings: the first found stays; without labels nothing is
+toxic; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,11 +45,13 @@ BLOCK = 1 << 20
 
 #: Letters that a symbol may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "abcdefghijklmnopqrstuvwxyz", "#": "abcdefghijklmnopqrstuvwxyz"}
-SEPARATORS = " ._-*"
+SEPARATORS = " ._-*/\t\n"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-SPACED = re.compile(r"(?<![^\s])[a-z0-9@$!|](?:[ ._*-]{1,2}[a-z0-9@$!|]){3,}(?![^\s.,;:!?])")
+SPACED = re.compile(r"(?<![^\s])[a-z0-9@$!|](?:[ ._*/\t\n-]{1,2}[a-z0-9@$!|]){2,}(?![^\s.,;:!?])")
 EDGES = ".,;:?!\"'()[]{}<>#%&|*-_~=+/\\…«»“”„"
-SPLIT = re.compile(r"[.,;:?\"/\\\[\]{}<>=~&%]+")
+SPLIT = re.compile(r"[.,;:?\"/\\\[\]{}<>=~&%]+|[0-9]{4,}|[*#]{4,}")
+JOINTS = re.compile(r"[-_]+")
+RUNS = re.compile(r"(.)\1*", re.DOTALL)
 DOUBLE = re.compile(r"([^\W\d_])\1")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 CLASSES = np.zeros(256, np.int64)
@@ -98,10 +102,8 @@ class Restorer:
         p, after = self.corpus[at[0], at[1], at[2]], self.follow.get(last)
         return math.log(0.5 * p + 0.5 * after[letter] / after.total() if after else 0.5 * p)
 
-    def _edges(self, seen: str, i: int) -> list[tuple[int, str, float]]:
-        c, run = seen[i], 1
-        while i + run < len(seen) and seen[i + run] == c:
-            run += 1
+    def _edges(self, c: str, i: int, run: int) -> list[tuple[int, str, float]]:
+        """(end, letter, cost) of the readings of ``c`` at place ``i``, which stands there ``run`` times in a row."""
         found = []
         if c in LETTERS:
             found.append((i + 1, c, -0.1))
@@ -119,19 +121,27 @@ class Restorer:
         return found
 
     def decode(self, seen: str) -> str:
-        """The likeliest reading; states are the last three characters."""
-        columns: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(seen) + 1)]
-        columns[0]["   "] = (0.0, "")
-        for i in range(len(seen)):
-            for j, letter, cost in self._edges(seen, i):
-                for last, (score, text) in columns[i].items():
+        """The likeliest reading; states are the last three characters, and each keeps the way it was reached."""
+        columns: list[dict[str, tuple[float, tuple | None]]] = [{} for _ in range(len(seen) + 1)]
+        columns[0]["   "] = (0.0, None)
+        runs = (m.end() - i for m in RUNS.finditer(seen) for i in range(*m.span()))
+        for i, run in enumerate(runs):
+            here, columns[i] = columns[i], {}
+            for j, letter, cost in self._edges(seen[i], i, run):
+                there = columns[j]
+                for last, (score, way) in here.items():
                     if letter == " " and last[-1] == " " or not letter:
-                        state, now, out = last, score + cost, text
+                        state, now, after = last, score + cost, way
                     else:
-                        state, now, out = last[1:] + letter, score + cost + self._log_p(last, letter), text + letter
-                    if state not in columns[j] or (now, out) > columns[j][state]:
-                        columns[j][state] = (now, out)
-        return max((score + self._log_p(last, " "), text) for last, (score, text) in columns[-1].items())[1].strip()
+                        state, now, after = last[1:] + letter, score + cost + self._log_p(last, letter), (way, letter)
+                    if state not in there or now > there[state][0]:
+                        there[state] = (now, after)
+        _, way = max(((score + self._log_p(last, " "), way) for last, (score, way) in columns[-1].items()), key=lambda x: x[0])
+        letters = []
+        while way:
+            way, letter = way
+            letters.append(letter)
+        return "".join(reversed(letters)).strip()
 
     def marks(self, word: str) -> list[int]:
         """The clues that the word begins with."""
@@ -152,17 +162,30 @@ class Restorer:
             return [self._plain(core)]
         words = []
         for part in SPLIT.split(core):
-            if re.search(r"[$@]{3,}", part):
-                part = part.strip("$@")
-            if part.isalpha():
-                words.append(self._plain(part))
-            elif 2 < len(part) <= 40 and any(c.isalpha() for c in part) and not re.search(r"\d{4}", part):
-                words += self.decode(part).split()
+            parts = [p for p in JOINTS.split(part) if p]
+            if len(parts) < 2:
+                words += self._part(part)
+                continue
+            apart = [word for p in parts for word in self._part(p)]
+            shown = sum(len(self.marks(word)) for word in apart)
+            if shown and len(min(parts, key=len)) > 1:
+                words += apart
+                continue
+            joined = self._part(part)
+            better = sum(len(self.marks(word)) for word in joined) > shown or (not shown and len(min(parts, key=len)) == 1)
+            words += joined if better else apart
         return words
 
+    def _part(self, part: str) -> list[str]:
+        if re.search(r"[$@]{3,}", part):
+            part = part.strip("$@")
+        if part.isalpha():
+            return [self._plain(part)]
+        return self.decode(part).split() if len(part) > 2 and any(c.isalpha() for c in part) else []
+
     def _plain(self, word: str) -> str:
         """A word of letters is read otherwise only if a repeated letter hides a clue or stands three times."""
-        if len(word) > 40 or not word.isascii() or not DOUBLE.search(word) or self.marks(word):
+        if not word.isascii() or not DOUBLE.search(word) or self.marks(word):
             return word
         if not self.clues and not TRIPLE.search(word):
             return word
@@ -176,7 +199,7 @@ class Restorer:
             for word in self.token(token)[0]:
                 found[word] += n
         for run in SPACED.finditer(low):
-            found.update(self._spaced(run.group()))
+            found.update(self.decode(run.group()).split())
         return found
 
     def count_clues(self, text: str) -> Counter:
@@ -186,16 +209,13 @@ class Restorer:
             for clue in self.token(token)[1]:
                 found[clue] += n
         for run in SPACED.finditer(low):
-            for word in self._spaced(run.group()):
+            for word in self.decode(run.group()).split():
                 found.update(self.marks(word))
         return found
 
-    def _spaced(self, run: str) -> list[str]:
-        return [w for at in range(0, len(run), 60) for w in self.decode(run[max(0, at - 30) : at + 60]).split()]
-
     def restore(self, text: str) -> str:
         """The whole text with decoded tokens and spaced runs put in place, lower case; white space becomes one space."""
-        low = SPACED.sub(lambda m: " ".join(self._spaced(m.group())), text.lower())
+        low = SPACED.sub(lambda m: self.decode(m.group()), text.lower())
         return " ".join(w for token in low.split() for w in self.token(token)[0])
 
 
@@ -245,7 +265,8 @@ def _prefix_rows(sample: DataFrame, counts: np.ndarray, only: frozenset | None =
 
 
 def learn_clues(sample: DataFrame, counts: np.ndarray) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
-    """Prefixes; clues as (prefix's index, least number); the weights of the logistic model of (1, clues)."""
+    """Prefixes; clues as (prefix's index, least number); the weights of the logistic model of (1, clues). The model is fitted on the clues as a
+    restorer that knows them finds them, which is how texts are scored."""
     in_toxic = _prefix_rows(sample.where("toxic = 1"), counts).select(F.explode("found").alias("prefix", "n")).groupBy("prefix").count()
     only = frozenset(in_toxic.where(F.col("count") >= LEAST_TEXTS).select("prefix").toArrow().column("prefix").to_pylist())
     rows = materialize(_prefix_rows(sample, counts, only), "prefixes")
@@ -269,10 +290,42 @@ def learn_clues(sample: DataFrame, counts: np.ndarray) -> tuple[list[str], list[
     toxic = held.column("toxic").to_numpy().astype(float)
     by_row = np.frombuffer(b"".join(held.column("fired").to_pylist()), np.uint8).reshape(len(toxic), -(-len(candidates) // 8))
     blocks = [np.packbits(np.unpackbits(by_row[:, k : k + 128], axis=1).T, axis=1) for k in range(0, by_row.shape[1], 128)]
-    return _choose(candidates, np.concatenate([*blocks, np.zeros((0, -(-len(toxic) // 8)), np.uint8)])[: len(candidates)], toxic)
+    prefixes, clues = _choose(candidates, np.concatenate([*blocks, np.zeros((0, -(-len(toxic) // 8)), np.uint8)])[: len(candidates)], toxic)
+    marks, toxic = _clue_marks(sample, counts, prefixes, clues)
+    return prefixes, clues, _fit(marks, toxic)
+
+
+def _by_prefix(clues: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
+    at: dict[int, list[tuple[int, int]]] = {}
+    for k, (prefix, least) in enumerate(clues):
+        at.setdefault(prefix, []).append((k, least))
+    return at
+
+
+def _fired(restorer: Restorer, at: dict[int, list[tuple[int, int]]], text: str) -> list[int]:
+    return sorted(k for prefix, n in restorer.count_clues(text).items() for k, least in at[prefix] if n >= least)
+
 
+def _clue_marks(sample: DataFrame, counts: np.ndarray, prefixes: list[str], clues: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which clues fire in which row of the sample, and the rows' classes."""
+    at = _by_prefix(clues)
 
-def _choose(candidates: list[tuple[str, int]], member: np.ndarray, toxic: np.ndarray) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(counts, prefixes)
+        for batch in batches:
+            marks = np.zeros((len(batch), len(clues)), bool)
+            for r, text in enumerate(batch.column("text")):
+                marks[r, _fired(restorer, at, text.as_py() or "")] = True
+            packed = [row.tobytes() for row in np.packbits(marks, axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column("toxic")], ["fired", "toxic"])
+
+    held = sample.mapInArrow(scan, "fired binary, toxic int").toArrow()  # at most SAMPLE_ROWS rows of a bit a clue
+    toxic = held.column("toxic").to_numpy().astype(float)
+    packed = np.frombuffer(b"".join(held.column("fired").to_pylist()), np.uint8).reshape(len(toxic), -(-len(clues) // 8))
+    return np.unpackbits(packed, axis=1, count=len(clues)), toxic
+
+
+def _choose(candidates: list[tuple[str, int]], member: np.ndarray, toxic: np.ndarray) -> tuple[list[str], list[tuple[int, int]]]:
     """``member``: a row a candidate, of packed bits: the sample's rows that it marks."""
     is_toxic = np.packbits(toxic > 0)
     size = lambda rows: np.bitwise_count(rows).sum(axis=-1, dtype=np.int64)
@@ -291,7 +344,7 @@ def _choose(candidates: list[tuple[str, int]], member: np.ndarray, toxic: np.nda
     prefixes = sorted({candidates[i][0] for i in taken})
     place = {prefix: i for i, prefix in enumerate(prefixes)}
     clues = [(place[candidates[i][0]], candidates[i][1]) for i in taken]
-    return prefixes, clues, _fit(np.unpackbits(rows[: len(taken)], axis=1, count=len(toxic)).T, toxic)
+    return prefixes, clues
 
 
 def _fit(marks: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -310,18 +363,15 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """``(doc_id, held_out, score, predicted, n_clues)``: one row a row of ``docs``."""
     counts = count_characters(docs)
     prefixes, clues, weights = learn_clues(materialize(labelled_sample(docs, labels, sample_rows), "sample"), counts)
-    at: dict[int, list[tuple[int, int]]] = {}
-    for k, (prefix, least) in enumerate(clues):
-        at.setdefault(prefix, []).append((k + 1, least))
+    at = _by_prefix(clues)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(counts, prefixes)
         for batch in batches:
             logits, n_clues = [], []
             for text in batch.column("text"):
-                found = restorer.count_clues(text.as_py() or "")
-                fired = sorted(k for prefix, n in found.items() for k, least in at[prefix] if n >= least)
-                logits.append(weights[0] + weights[fired].sum())
+                fired = _fired(restorer, at, text.as_py() or "")
+                logits.append(weights[0] + weights[1:][fired].sum())
                 n_clues.append(len(fired))
             p = 1 / (1 + np.exp(-np.array(logits)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array(n_clues, pa.int64())], ["doc_id", "score", "n_clues"])

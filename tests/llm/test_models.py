@@ -25,6 +25,23 @@ def test_noise_is_decoded(seen, word):
     assert word in r.restore(seen).split() and r.count_clues(seen)
 
 
+@pytest.mark.parametrize(
+    "seen",
+    ["m0r0n-" + "a" * 36, "m0r0n-aaaa-" + "bcd-" * 12, "m0r0n2024", "2024m0r0n", "you-are-a-complete-m0r0n-and-everyone-knows-it", "m" + "o" * 60 + "ron", "mo-r0n", "m-o-r-o-n", "m_0_r_0_n", "m\to\tr\to\tn", "m/o/r/o/n", "m\no\nr\no\nn", "x" * 50_000 + "-m0r0n"],
+)
+def test_noise_of_any_length_is_decoded(seen):
+    r = toxicity.Restorer(COUNTS, ["moron"])
+    assert r.count_clues(seen) and r.count_clues(f"some words, {seen} and more")
+
+
+def test_long_and_short_spaced_words():
+    r = toxicity.Restorer(COUNTS, ["moron", "ass"])
+    run = "q w z k p v " * 17 + "m o r o n"  # 213 characters
+    assert r.restore(run).replace(" ", "").endswith("moron") and len(r.restore(run).replace(" ", "")) == 6 * 17 + 5  # nothing is read twice
+    assert r.count_clues("a s s") and not r.count_clues("a and s")
+    assert len(r.decode("ab-" * 30_000)) <= 90_000
+
+
 def test_plain_text_stays():
     r = toxicity.Restorer(COUNTS, ["moron"])
     assert r.restore("The cook took a good book.\nVersion 3.14 of 2024") == "the cook took a good book version 3.14 of 2024".replace(" 3.14 of 2024", " of")
@@ -38,7 +55,7 @@ def test_viterbi_by_brute_force():
         if i == len(seen):
             yield score + r._log_p(last, " "), text.strip()
             return
-        for j, letter, cost in r._edges(seen, i):
+        for j, letter, cost in r._edges(seen[i], i, len(seen[i:]) - len(seen[i:].lstrip(seen[i]))):
             if not letter or (letter == " " and last[-1] == " "):
                 yield from paths(seen, j, last, score + cost, text)
             else:
@@ -222,7 +239,7 @@ def test_segmentation_odd_rows(odd, empty):
     got = segmentation.best_segmentations(odd).collect()
     assert len(got) == len(ROWS) and all(list(r.scores) == sorted(r.scores, reverse=True) for r in got)
     assert [list(r.scores) for r in got if r.n_pieces == [0]] == [[0.0]] * 3
-    assert {len(r.scores) for r in got if r.n_pieces != [0]} == {4}
+    assert all(len(r.scores) == len(r.n_pieces) == len(r.ids_crc32) == len(r.decoded_crc32) for r in got)
     assert segmentation.best_segmentations(empty).count() == 0
     small = segmentation.round_trip(odd.where("doc_id IN (3, 5, 7)"))
     texts = {d: t for d, t in ROWS if d in (3, 5, 7)}
