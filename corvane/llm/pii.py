@@ -12,13 +12,16 @@ Base spans are the leftmost non-overlapping matches of each kind that pass its c
 
 Each round is two aggregations and two joins between stored tables; only confident patterns enter the second join.
 
-Defined results: null text is empty; repeated rows get equal spans; a table without seeds adds nothing; an empty table gives no rows;
-other columns are ignored.
+Defined results: null text is empty; very long texts are read whole, and identifiers of any length are occurrences (over ``NAME`` characters they
+stand in the graph under their beginning and a digest, so that different ones never merge); contexts are words within 120 characters before and
+60 after, cut at 40; of kinds with equal scores the last in alphabetical order is given; repeated rows get equal spans; a table without seeds adds
+nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -42,6 +45,8 @@ GROUPS = re.compile(r"(?<![^\x20\x09-\x0D])\(?[0-9][0-9()\x20.-]{5,28}[0-9](?![^
 TOKEN = re.compile(GROUPS.pattern + r"|[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 TRIM = ".,;:!?\"'()[]{}<>|"
 
+NAME = 80
+
 Span = tuple[int, int]
 
 
@@ -110,11 +115,16 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return found
 
 
+def name_of(string: str) -> str:
+    """What an occurrence is called in the graph."""
+    return string if len(string) <= NAME else f"{string[:NAME]}\u2026{hashlib.sha256(string.encode()).hexdigest()}"
+
+
 def occurrences(text: str) -> list[tuple[int, int, str, str | None, list[str]]]:
     """(start, end, string, kind or None, patterns) of base spans and of other identifier-like tokens."""
     spans = base_spans(text)
     known = sorted((a, b, kind) for kind in KINDS for a, b in spans[kind])
-    found = [(a, b, text[a:b][:200], kind, contexts(text, a, b)) for a, b, kind in known]
+    found = [(a, b, name_of(text[a:b]), kind, contexts(text, a, b)) for a, b, kind in known]
     i = 0
     for m in TOKEN.finditer(text) if "@" in text or DIGIT.search(text) else ():
         a, b = m.span()
@@ -124,8 +134,8 @@ def occurrences(text: str) -> list[tuple[int, int, str, str | None, list[str]]]:
             b -= 1
         while i < len(known) and known[i][1] <= a:
             i += 1
-        if 4 <= b - a <= 200 and not any(x < b and a < y for x, y, _ in known[i : i + 4]):
-            found.append((a, b, text[a:b], None, contexts(text, a, b)))
+        if b - a >= 4 and not any(y > a for _, y, _ in itertools.takewhile(lambda k: k[0] < b, itertools.islice(known, i, None))):
+            found.append((a, b, name_of(text[a:b]), None, contexts(text, a, b)))
     return found
 
 
