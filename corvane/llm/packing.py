@@ -6,11 +6,18 @@ cut). A piece demands three resources of a sequence: tokens, one place in its do
 chosen by the weighted dot product of demand and residual capacity (the largest wins among those that leave the fewest tokens)
 or by the norm of what would remain (smallest wins), each as a share of the capacity.
 
-A full-length piece fills a sequence alone. Each task packs its own rows in runs of ``RUN`` pieces, so that no key decides who packs
-what and no group can grow; a run leaves at most a few sequences unfilled out of thousands.
+A full-length piece fills a sequence alone. Pieces are dealt to tasks by a hash of all they hold and of the number of the copy, ``COPIES`` copies
+together, and packed in runs of ``RUN`` in the order of that hash. So neither one key nor one text repeated can crowd a task, a run is a fair mix
+of lengths, and the result does not depend on where rows come from. Sequences with ``CARRIED`` tokens or more to spare stay open from a run to the next.
 
-Defined results: null text is an empty document (the end id alone); repeated rows are packed once each; an empty table
-gives no rows; other columns are ignored.
+By default only the tokens bind: the contract wants as few sequences of 2,048 tokens as can be, every piece has a token, and squares of parts
+never add up to more than the square of their sum, so 2,048 documents and 2,048 squared cost are met by themselves. They still steer the choice
+through the norm. Tighter limits cost sequences; callers set them in ``Capacity``.
+
+Ties: equal lengths are placed by ``doc_id`` (null first), piece, start, checksum and copy; among equally good sequences the one opened first is taken.
+
+Defined results: null text is an empty document (the end id alone); very long texts are cut into as many pieces as it takes; repeated rows are packed
+once each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,15 +27,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .storage import materialize, read_table
 from .words import default_path, encoder
 
 RUN = 8_192
+COPIES = 64
+CARRIED = 16
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECES_SCHEMA + ", sequence_id long, offset long"
 
@@ -66,76 +76,107 @@ def cut_documents(docs: DataFrame, max_tokens: int = 2048, end_id: int = 0, toke
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(cut, PIECES_SCHEMA)
 
 
-def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
-    """The sequence (from 0) and the offset of each piece."""
-    full = np.array([capacity.tokens, capacity.documents, capacity.attention], dtype=float)
-    w = np.array(capacity.weights)
-    sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    least = int(lengths[order[-1]]) if len(lengths) else 0
-    room = np.empty((3, 1024), np.int64)  # what the open sequences have left of each resource
-    name, n_open, made = np.empty(1024, np.int64), 0, 0
-    for i in order:
-        length = int(lengths[i])
-        demand = (length, 1, length * length)
-        tokens, documents, attention = room[:, :n_open]
+class Bins:
+    """Open sequences, by what each has left of every resource."""
+
+    def __init__(self, capacity: Capacity):
+        self.capacity = capacity
+        self.full = np.array([capacity.tokens, capacity.documents, capacity.attention], dtype=float)
+        self.weights = np.array(capacity.weights)
+        self.room, self.name = np.empty((3, 1024), np.int64), np.empty(1024, np.int64)
+        self.n_open, self.made = 0, 0
+
+    def place(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequence and the offset of each piece, placed longest first and equal ones in the order given."""
+        sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+        for i in np.argsort(-lengths, kind="stable"):
+            at = self._best(int(lengths[i]))
+            sequence[i], offset[i] = self.name[at], self.capacity.tokens - self.room[0, at]
+            self.room[:, at] -= (lengths[i], 1, lengths[i] * lengths[i])
+            if not self.room[0, at] or not self.room[1, at]:
+                self._close(at)
+        return sequence, offset
+
+    def _best(self, length: int) -> int:
+        demand = np.array([length, 1, length * length])
+        tokens, documents, attention = self.room[:, : self.n_open]
         fits = np.flatnonzero((tokens >= length) & (documents >= 1) & (attention >= demand[2]))
-        if len(fits):
-            have = room[:, fits]
-            if capacity.rule == "norm":
-                left = (have - np.array(demand)[:, None]) / full[:, None]
-                at = fits[np.argmin(w @ (left * left))]
-            else:
-                score = (w * demand / full) @ (have / full[:, None])
-                at = fits[np.lexsort((-score, have[0]))[0]]
+        if not len(fits):
+            return self._open()
+        have = self.room[:, fits]
+        if self.capacity.rule == "norm":
+            left = (have - demand[:, None]) / self.full[:, None]
+            cost = (self.weights @ (left * left),)
         else:
-            if n_open == room.shape[1]:
-                room, name = np.concatenate([room, np.empty_like(room)], axis=1), np.concatenate([name, np.empty_like(name)])
-            at, n_open = n_open, n_open + 1
-            room[:, at], name[at] = (capacity.tokens, capacity.documents, capacity.attention), made
-            made += 1
-        sequence[i], offset[i] = name[at], capacity.tokens - room[0, at]
-        room[:, at] -= demand
-        if room[0, at] < least or not room[1, at]:  # nothing fits any more
-            n_open -= 1
-            room[:, at], name[at] = room[:, n_open], name[n_open]
-    return sequence, offset
+            cost = (have[0], -((self.weights * demand / self.full) @ (have / self.full[:, None])))
+        best = np.arange(len(fits))
+        for c in (*cost, self.name[fits]):
+            best = best[c[best] == c[best].min()]
+        return int(fits[best[0]])
+
+    def _open(self) -> int:
+        if self.n_open == self.room.shape[1]:
+            self.room, self.name = np.concatenate([self.room, np.empty_like(self.room)], axis=1), np.concatenate([self.name, np.empty_like(self.name)])
+        at, self.n_open = self.n_open, self.n_open + 1
+        self.room[:, at], self.name[at] = (self.capacity.tokens, self.capacity.documents, self.capacity.attention), self.made
+        self.made += 1
+        return at
+
+    def _close(self, at: int) -> None:
+        self.n_open -= 1
+        self.room[:, at], self.name[at] = self.room[:, self.n_open], self.name[self.n_open]
+
+    def close_fuller_than(self, spare: int) -> None:
+        """Close the sequences with fewer tokens to spare than this."""
+        keep = np.flatnonzero(self.room[0, : self.n_open] >= spare)
+        self.n_open = len(keep)
+        self.room[:, : self.n_open], self.name[: self.n_open] = self.room[:, keep], self.name[keep]
+
+
+def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence (from 0) and the offset of each piece."""
+    return Bins(capacity).place(lengths)
+
+
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with the number of each of equal rows: counted first, so that many copies are one row on their way."""
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    counted = pieces.groupBy(*own).agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.select(*own, "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))).alias("part"))
+    dealt = parts.withColumn("deal", F.xxhash64(*own, "part"))
+    each = F.sequence(F.col("part") * COPIES, F.least((F.col("part") + 1) * COPIES, "n") - 1)
+    return dealt.select(*own, "part", "deal", each.alias("copies"))
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
-    """``PACKED_SCHEMA``. ``pieces`` should be a stored table: its rows are dealt out evenly, whatever their keys."""
+    """``PACKED_SCHEMA``."""
     n_tasks = max(1, pieces.count() // (2 * RUN))
+    dealt = _numbered(pieces).repartition(n_tasks, "deal").sortWithinPartitions("deal", "doc_id", "piece", "start", "ids_crc32", "part")
+    rows = dealt.select("doc_id", "piece", "start", "length", "ids_crc32", F.explode("copies").alias("copy"))
+    keys = [(c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32", "copy")]
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        next_id = TaskContext.get().partitionId() << 40
-        held: list[pd.DataFrame] = []
-
-        def flush() -> Iterator[pd.DataFrame]:
-            nonlocal next_id
-            rows = pd.concat(held, ignore_index=True)
-            held.clear()
-            sequence, rows["offset"] = best_fit(rows["length"].to_numpy(), capacity)
-            rows["sequence_id"] = sequence + next_id
-            next_id += int(sequence.max()) + 1
-            yield rows
-
-        waiting = 0
-        for frame in frames:
-            whole = frame["length"] == capacity.tokens
-            alone = frame[whole].copy()
-            alone["sequence_id"], alone["offset"] = np.arange(next_id, next_id + len(alone)), 0
-            next_id += len(alone)
-            yield alone
-            if not whole.all():
-                held.append(frame[~whole])
-                waiting += len(held[-1])
-            if waiting >= RUN:
-                yield from flush()
-                waiting = 0
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, bins = TaskContext.get().partitionId() << 40, Bins(capacity)
+
+        def packed(run: pa.Table) -> Iterator[pa.RecordBatch]:
+            run = run.take(pc.sort_indices(run, sort_keys=keys, null_placement="at_start")).drop_columns(["copy"])
+            sequence, offset = bins.place(run.column("length").to_numpy())
+            bins.close_fuller_than(CARRIED)
+            yield from run.append_column("sequence_id", pa.array(sequence + first)).append_column("offset", pa.array(offset)).combine_chunks().to_batches()
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                held.append(batch.slice(at, RUN - sum(map(len, held))))
+                at += len(held[-1])
+                if sum(map(len, held)) == RUN:
+                    yield from packed(pa.Table.from_batches(held))
+                    held = []
         if held:
-            yield from flush()
+            yield from packed(pa.Table.from_batches(held))
 
-    return pieces.repartition(n_tasks).mapInPandas(place, PACKED_SCHEMA)
+    return rows.mapInArrow(place, PACKED_SCHEMA)
 
 
 def pack_documents(docs: DataFrame, capacity: Capacity = Capacity(), end_id: int = 0, tokenizer: str | None = None) -> DataFrame:

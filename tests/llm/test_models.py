@@ -133,6 +133,53 @@ def test_packing_odd_rows(odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def brute_best_fit(lengths, cap):
+    """Open every sequence for ever and look at all of them for every piece."""
+    open_ones, sequence, offset = [], {}, {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        need = (lengths[i], 1, lengths[i] ** 2)
+        full, options = (cap.tokens, cap.documents, cap.attention), []
+        for name, room in enumerate(open_ones):
+            if all(r >= d for r, d in zip(room, need)):
+                norm = sum(w * ((r - d) / f) ** 2 for w, r, d, f in zip(cap.weights, room, need, full))
+                dot = sum(w * d / f * r / f for w, r, d, f in zip(cap.weights, room, need, full))
+                options.append(((round(norm, 12),) if cap.rule == "norm" else (room[0], -round(dot, 12)), name))
+        if options:
+            name = min(options)[1]
+        else:
+            name = len(open_ones)
+            open_ones.append(list(full))
+        sequence[i], offset[i] = name, cap.tokens - open_ones[name][0]
+        open_ones[name] = [r - d for r, d in zip(open_ones[name], need)]
+    return [sequence[i] for i in range(len(lengths))], [offset[i] for i in range(len(lengths))]
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_by_brute_force(rule):
+    rng = np.random.default_rng(7)
+    for cap in (packing.Capacity(50, 50, 2500, rule=rule), packing.Capacity(50, 3, 2500, rule=rule), packing.Capacity(50, 6, 2500, weights=(0.5, 1.0, 2.0), rule=rule)):
+        lengths = rng.integers(1, 51, 150)
+        sequence, offset = packing.best_fit(lengths, cap)
+        assert (sequence.tolist(), offset.tolist()) == brute_best_fit(lengths.tolist(), cap)
+
+
+def test_packing_does_not_depend_on_where_rows_come_from(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 100)
+    rng = random.Random(5)
+    rows = [(i if i % 9 else None, rng.randrange(3), 0, rng.randint(1, 2048), rng.randrange(2**32)) for i in range(1500)] + [(7, 0, 0, 1, 9)] * 600
+    rows.append((2**60 + 1, 0, 0, 5, 5))
+    results = []
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        packed = packing.pack(spark.createDataFrame(rows, packing.PIECES_SCHEMA).repartition(parts)).collect()
+        results.append(sorted(map(str, packed)))
+        check_packing([packing_row for packing_row in packed], packed, 2048)
+    assert results[0] == results[1] and len(results[0]) == len(rows)
+    assert len({r.sequence_id >> 40 for r in packed}) > 5 and any(r.doc_id == 2**60 + 1 for r in packed)
+    least = sum(r[3] for r in rows) / 2048
+    assert len({r.sequence_id for r in packed}) <= 1.06 * least + 11  # runs of 100 only; a task leaves one or two sequences open
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_capacity_binds(rule):
     lengths = np.random.default_rng(2).integers(1, 100, 3000)
