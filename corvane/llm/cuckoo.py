@@ -1,4 +1,4 @@
-"""A cuckoo filter over fixed-size digests, and the bucketed index of live digests that it guards."""
+"""A cuckoo filter over fixed-size digests, and one bucket of the index of live digests that it guards."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import numpy as np
 
 SLOTS = 4
 MAX_KICKS = 200
+DIGEST = 32
 
 
 class CuckooFilter:
@@ -20,6 +21,16 @@ class CuckooFilter:
         self.table = [0] * (self.n_buckets * SLOTS)
         self._turn = 0
 
+    @classmethod
+    def load(cls, stored: bytes) -> CuckooFilter:
+        made = cls(1)
+        made.table = np.frombuffer(stored, "<u2").tolist()
+        made.n_buckets = len(made.table) // SLOTS
+        return made
+
+    def stored(self) -> bytes:
+        return np.array(self.table, "<u2").tobytes()
+
     def _places(self, digest: bytes) -> tuple[int, int, int]:
         fp = int.from_bytes(digest[:2], "little") or 1
         first = int.from_bytes(digest[2:10], "little") & (self.n_buckets - 1)
@@ -67,27 +78,47 @@ class CuckooFilter:
 
 
 class DigestIndex:
-    """One bucket of the index: a filter in front of ``digest -> [keep_id, live copies]``.
+    """A bucket's filter in front of its stored content, the live digests sorted, each with its keep_id and number of copies.
 
-    A digest absent from the filter is new without a look at the content; a hit counts only once the stored digest
-    agrees. When the filter overflows, it doubles and is filled again from the stored keys.
+    The filter decides alone that a digest is new: such a digest joins the content without a look at it. Only hits are looked up there,
+    all together; those that the content does not know were false ones and join it too. When the filter overflows, it doubles and is
+    filled again from the stored keys.
     """
 
     def __init__(self, capacity: int = 64):
         self.filter = CuckooFilter(capacity)
-        self.content: dict[bytes, list] = {}
-        self.resizes = 0
-        self.false_hits = 0
+        self.digests = np.zeros(0, f"V{DIGEST}")
+        self.ids, self.known, self.copies = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+        self.resizes = self.looked_up = self.false_hits = 0
+
+    @classmethod
+    def load(cls, stored: bytes, digests: list[bytes], ids: list[int | None], copies: list[int]) -> DigestIndex:
+        made = cls(1)
+        made.filter = CuckooFilter.load(stored)
+        made._join(_array(digests), ids, copies)
+        return made
+
+    def _join(self, digests: np.ndarray, ids: list[int | None], copies: list[int]) -> None:
+        every = np.concatenate([self.digests, digests])
+        order = np.argsort(_sortable(every), kind="stable")
+        known = np.array([i is not None for i in ids], bool)
+        self.digests = every[order]
+        self.ids = np.concatenate([self.ids, np.array([i or 0 for i in ids], np.int64)])[order]
+        self.known = np.concatenate([self.known, known])[order]
+        self.copies = np.concatenate([self.copies, np.array(copies, np.int64)])[order]
+
+    def places(self, digests: list[bytes]) -> np.ndarray:
+        """Where the content holds each digest; -1 where it does not."""
+        wanted, held = _sortable(_array(digests)), _sortable(self.digests)
+        if not len(held):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+        return np.where(held[at] == wanted, at, -1)
 
     def __contains__(self, digest: bytes) -> bool:
-        if not self.filter.contains(digest):
-            return False
-        if digest in self.content:
-            return True
-        self.false_hits += 1
-        return False
+        return self.filter.contains(digest) and self.places([digest])[0] >= 0
 
-    def _admit(self, digest: bytes) -> None:
+    def _admit(self, digest: bytes, others: list[bytes]) -> None:
         if self.filter.insert(digest):
             return
         size = self.filter.n_buckets * SLOTS
@@ -95,34 +126,72 @@ class DigestIndex:
             size *= 2
             self.resizes += 1
             grown = CuckooFilter(int(size * 0.85))
-            if all(grown.insert(key) for key in self.content):
+            if all(grown.insert(key) for key in self.digests.tolist()) and all(map(grown.insert, [*others, digest])):
                 self.filter = grown
                 return
 
-    def insert(self, digest: bytes, keep_id: int | None, copies: int = 1) -> bool:
-        """True if the digest was not live before. The smallest id stays; null ids never win over others."""
-        if digest in self:
-            entry = self.content[digest]
-            entry[1] += copies
-            if keep_id is not None and (entry[0] is None or keep_id < entry[0]):
-                entry[0] = keep_id
-            return False
-        self.content[digest] = [keep_id, copies]
-        self._admit(digest)
-        return True
-
-    def delete(self, digest: bytes, copies: int = 1) -> bool:
-        """Take away copies; True if the digest is no longer live. ``keep_id`` names the digest until then."""
-        if digest not in self:
-            return False
-        entry = self.content[digest]
-        entry[1] -= copies
-        if entry[1] > 0:
-            return False
-        del self.content[digest]
-        self.filter.delete(digest)
-        return True
-
-    def arrays(self) -> tuple[list[bytes], list, np.ndarray]:
-        entries = list(self.content.values())
-        return list(self.content), [e[0] for e in entries], np.array([e[1] for e in entries], dtype=np.int64)
+    def insert(self, digests: list[bytes], ids: list[int | None], copies: list[int]) -> int:
+        """How many digests were not live before. The smallest id stays; null ids never win over others."""
+        new, hits = [], []
+        fresh: list[bytes] = []
+        for i, digest in enumerate(digests):
+            if self.filter.contains(digest):
+                hits.append(i)
+            else:
+                self._admit(digest, fresh)
+                new.append(i)
+                fresh.append(digest)
+        self._join(_array(fresh), [ids[i] for i in new], [copies[i] for i in new])
+        self.looked_up += len(hits)
+        at = self.places([digests[i] for i in hits])
+        missing = [i for i, place in zip(hits, at) if place < 0]
+        self._merge(at, [ids[i] for i in hits], [copies[i] for i in hits])
+        if missing:
+            folded: dict[bytes, list] = {}
+            for i in missing:
+                entry = folded.setdefault(digests[i], [None, 0])
+                entry[0] = ids[i] if entry[0] is None else entry[0] if ids[i] is None else min(entry[0], ids[i])
+                entry[1] += copies[i]
+            self.false_hits += len(folded)
+            for k, digest in enumerate(folded):
+                self._admit(digest, list(folded)[:k])
+            self._join(_array(list(folded)), [e[0] for e in folded.values()], [e[1] for e in folded.values()])
+            return len(new) + len(folded)
+        return len(new)
+
+    def _merge(self, at: np.ndarray, ids: list[int | None], copies: list[int]) -> None:
+        for place, own, n in zip(at.tolist(), ids, copies):
+            if place < 0:
+                continue
+            self.copies[place] += n
+            if own is not None and (not self.known[place] or own < self.ids[place]):
+                self.ids[place], self.known[place] = own, True
+
+    def delete(self, digests: list[bytes], copies: list[int]) -> int:
+        """Take away copies of distinct digests; how many are no longer live. ``keep_id`` names a digest until then."""
+        hits = [i for i, digest in enumerate(digests) if self.filter.contains(digest)]
+        self.looked_up += len(hits)
+        at = self.places([digests[i] for i in hits])
+        for i, place in zip(hits, at.tolist()):
+            if place >= 0:
+                self.copies[place] -= copies[i]
+        dead = self.copies <= 0
+        for digest in self.digests[dead].tolist():
+            self.filter.delete(digest)
+        self.digests, self.ids, self.known, self.copies = self.digests[~dead], self.ids[~dead], self.known[~dead], self.copies[~dead]
+        return int(dead.sum())
+
+    def rows(self) -> tuple[list[bytes], list[int | None], list[int]]:
+        """Digests, keep_ids and copies."""
+        return self.digests.tolist(), [i if k else None for i, k in zip(self.ids.tolist(), self.known.tolist())], self.copies.tolist()
+
+
+def _array(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), f"V{DIGEST}")
+
+
+def _sortable(digests: np.ndarray) -> np.ndarray:
+    """Digests as pairs of numbers would sort slowly; as strings they sort by bytes. A last byte keeps zeros at their ends."""
+    padded = np.ones((len(digests), DIGEST + 1), np.uint8)
+    padded[:, :DIGEST] = np.frombuffer(digests.tobytes(), np.uint8).reshape(-1, DIGEST)
+    return padded.reshape(-1).view(f"S{DIGEST + 1}")

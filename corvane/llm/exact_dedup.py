@@ -2,11 +2,12 @@
 
 Flow: every row gets the SHA-256 of its normalised text (built-in functions); each Arrow batch folds its rows to one
 row a digest, so that a group of copies of any size sends at most one row a batch; the partial rows are dealt by
-bucket (a range of digests) and inserted in that bucket's ``DigestIndex``; the live digests are written as a table and
-joined back to the rows. The join stands between plain exchanges, so that AQE splits a hot digest.
+bucket (a range of digests) and inserted in that bucket's ``DigestIndex``: the filter tells which are new, and only its hits are looked up
+in the bucket's content. Content and filters are written as one table and the content is joined back to the rows. The join stands between plain
+exchanges, so that AQE splits a hot digest. ``update_index`` inserts into and deletes from a stored index in the same way.
 
-Defined results: null text counts as empty; rows with a null ``doc_id`` are reported, and a group's ``keep_id`` is null
-only if all its ids are; rows that repeat both id and text are reported alike, each with ``kept`` as its id says; an
+Defined results: null text counts as empty; very long texts are read whole; rows with a null ``doc_id`` are reported, and a group's ``keep_id`` is null
+only if all its ids are; rows that repeat both id and text are reported alike, each with ``kept`` as its id says (ties share the id, so all stay); an
 empty table gives no rows; columns other than ``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
@@ -14,8 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ from .cuckoo import DigestIndex
 from .storage import fresh_name, materialize
 
 ROWS_PER_BUCKET = 20_000
-INDEX_SCHEMA = "bucket int, digest binary, keep_id long, group_size long"
+#: One row a live digest; and one a bucket with a null digest, which holds the bucket's filter.
+INDEX_SCHEMA = "bucket int, digest binary, keep_id long, group_size long, filter binary"
 
 
 def normalised(text: Column) -> Column:
@@ -44,51 +46,54 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from t.select(["digest", "doc_id_min", "digest_count"]).rename_columns(["digest", "keep_id", "group_size"]).to_batches()
 
 
-def _bucket_frame(bucket: int, index: DigestIndex) -> pd.DataFrame:
-    digests, ids, sizes = index.arrays()
-    return pd.DataFrame({"bucket": pd.Series([bucket] * len(digests), dtype="int32"), "digest": digests, "keep_id": pd.array(ids, dtype="Int64"), "group_size": sizes})
+def _table(bucket: int, index: DigestIndex) -> pa.Table:
+    digests, ids, sizes = index.rows()
+    columns = [[bucket] * (len(digests) + 1), [*digests, None], [*ids, None], [*sizes, None], [None] * len(digests) + [index.filter.stored()]]
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["bucket", "digest", "keep_id", "group_size", "filter"])
 
 
-def _fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _lists(rows: pa.Table) -> list[list]:
+    return [rows.column(c).to_pylist() for c in ("digest", "keep_id", "group_size")]
+
+
+def _fill(key: tuple, rows: pa.Table) -> pa.Table:
     index = DigestIndex(len(rows))
-    ids = [None if pd.isna(x) else int(x) for x in rows["keep_id"]]
-    for digest, keep_id, copies in zip(map(bytes, rows["digest"]), ids, rows["group_size"].tolist()):
-        index.insert(digest, keep_id, copies)
-    return _bucket_frame(key[0], index)
+    index.insert(*_lists(rows))
+    return _table(key[0].as_py(), index)
 
 
 def build_index(digests: DataFrame, n_buckets: int) -> DataFrame:
-    """``digests(doc_id, digest)`` to the index table ``INDEX_SCHEMA``: one row a live digest."""
+    """``digests(doc_id, digest)`` to the index table ``INDEX_SCHEMA``."""
     partial = digests.select(F.col("doc_id").cast("long"), "digest").mapInArrow(_fold, "digest binary, keep_id long, group_size long")
-    return partial.withColumn("bucket", bucket_of(F.col("digest"), n_buckets)).groupBy("bucket").applyInPandas(_fill, INDEX_SCHEMA)
+    return partial.withColumn("bucket", bucket_of(F.col("digest"), n_buckets)).groupBy("bucket").applyInArrow(_fill, INDEX_SCHEMA)
 
 
-def _change(key: tuple, stored: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
-    index = DigestIndex(len(stored) + len(changes))
-    for digest, keep_id, copies in zip(map(bytes, stored["digest"]), stored["keep_id"], stored["group_size"]):
-        index.insert(digest, None if pd.isna(keep_id) else int(keep_id), int(copies))
-    for digest, keep_id, copies in zip(map(bytes, changes["digest"]), changes["keep_id"], changes["group_size"]):
-        if copies > 0:
-            index.insert(digest, None if pd.isna(keep_id) else int(keep_id), int(copies))
-        elif copies < 0:
-            index.delete(digest, -int(copies))
-    return _bucket_frame(key[0], index)
+def _change(key: tuple, stored: pa.Table, changes: pa.Table) -> pa.Table:
+    own = stored.filter(pc.is_valid(stored.column("digest")))
+    filters = stored.column("filter").drop_null().to_pylist()
+    index = DigestIndex.load(filters[0], *_lists(own)) if filters else DigestIndex(len(changes))
+    n = changes.column("group_size")
+    index.insert(*_lists(changes.filter(pc.greater(n, 0))))
+    digests, _, copies = _lists(changes.filter(pc.less(n, 0)))
+    index.delete(digests, [-c for c in copies])
+    return _table(key[0].as_py(), index)
 
 
 def update_index(index: DataFrame, inserted: DataFrame, deleted: DataFrame, n_buckets: int) -> DataFrame:
-    """Insert and delete ``(doc_id, digest)`` rows in a stored index. Insertions come first; a digest whose live copies
+    """Insert and delete ``(doc_id, digest)`` rows in a stored index. Both count together; a digest whose live copies
     reach zero leaves the index and the filter; deleting an unknown digest changes nothing."""
     plus = inserted.groupBy("digest").agg(F.min(F.col("doc_id").cast("long")).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     minus = deleted.groupBy("digest").agg(F.lit(None).cast("long").alias("keep_id"), (-F.count(F.lit(1))).alias("group_size"))
     changes = plus.unionByName(minus).withColumn("bucket", bucket_of(F.col("digest"), n_buckets)).groupBy("bucket", "digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return index.groupBy("bucket").cogroup(changes.groupBy("bucket")).applyInPandas(_change, INDEX_SCHEMA)
+    return index.groupBy("bucket").cogroup(changes.groupBy("bucket")).applyInArrow(_change, INDEX_SCHEMA)
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row a row of ``docs``: doc_id, digest, keep_id, group_size, kept."""
     digests = materialize(docs.select("doc_id", digest_of(F.col("text")).alias("digest")), "digests")
     n_buckets = max(64, -(-digests.count() // ROWS_PER_BUCKET))
-    index = materialize(build_index(digests, n_buckets).select("digest", "keep_id", "group_size"), "index")
+    index = materialize(build_index(digests, n_buckets).where("digest IS NOT NULL").select("digest", "keep_id", "group_size"), "index")
     return digests.join(index, "digest").select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 

@@ -10,6 +10,7 @@ import xxhash
 from corvane.llm import exact_dedup, line_dedup, sharding, simhash
 from corvane.llm.components import connected_components
 from corvane.llm.cuckoo import CuckooFilter, DigestIndex
+from corvane.llm.storage import materialize
 
 from .conftest import ROWS, frame
 
@@ -29,10 +30,38 @@ def test_cuckoo_filter_inserts_deletes_and_overflows():
 
 def test_index_grows_from_stored_keys_and_forgets_the_dead():
     index, keys = DigestIndex(4), digests(2000)
-    assert all(index.insert(k, i) for i, k in enumerate(keys)) and index.resizes
-    assert not index.insert(keys[0], -5) and index.content[keys[0]] == [-5, 2]
-    assert not index.delete(keys[0]) and index.delete(keys[0]) and keys[0] not in index
-    assert all(k in index for k in keys[1:]) and not index.delete(keys[0])
+    assert index.insert(keys, list(range(2000)), [1] * 2000) == 2000 and index.resizes
+    assert index.looked_up == index.false_hits  # new digests are looked up only where the filter errs
+    before = index.looked_up
+    assert index.insert([keys[0], keys[0]], [-5, None], [1, 1]) == 0 and index.looked_up == before + 2
+    held = dict(zip(index.rows()[0], zip(*index.rows()[1:])))
+    assert held[keys[0]] == (-5, 3) and len(held) == 2000
+    assert index.delete([keys[0]], [2]) == 0 and index.delete([keys[0], keys[1]], [1, 1]) == 2
+    assert keys[0] not in index and all(k in index for k in keys[2:]) and index.delete([keys[0]], [1]) == 0
+    again = DigestIndex.load(index.filter.stored(), *index.rows())
+    assert all(k in again for k in keys[2:]) and again.insert([keys[0], keys[5]], [9, 9], [1, 1]) == 1
+
+
+def test_index_equals_a_dictionary():
+    rng, index, held = random.Random(2), DigestIndex(1), {}
+    keys = [k[:30] + bytes([k[30] % 2, 0]) for k in digests(300)]  # ends of zeros
+    for _ in range(40):
+        chosen = [rng.choice(keys) for _ in range(30)]
+        ids = [rng.choice([None, *range(50)]) for _ in chosen]
+        index.insert(chosen, ids, [1] * 30)
+        for k, i in zip(chosen, ids):
+            entry = held.setdefault(k, [None, 0])
+            entry[0] = min((x for x in (entry[0], i) if x is not None), default=None)
+            entry[1] += 1
+        gone = rng.sample(keys, 20)
+        index.delete(gone, [2] * 20)
+        for k in gone:
+            if k in held:
+                held[k][1] -= 2
+                if held[k][1] <= 0:
+                    del held[k]
+        assert dict(zip(index.rows()[0], map(list, zip(*index.rows()[1:])))) == held
+        assert sum(map(bool, index.filter.table)) == len(held)
 
 
 def norm(t):
@@ -55,9 +84,12 @@ def test_index_updates(spark):
     docs = spark.createDataFrame([(i, f"t{i % 5}") for i in range(20)], "doc_id long, text string")
     rows = docs.select("doc_id", exact_dedup.digest_of(docs["text"]).alias("digest"))
     index = exact_dedup.build_index(rows, 4)
-    assert {(r.keep_id, r.group_size) for r in index.collect()} == {(i, 4) for i in range(5)}
-    new = exact_dedup.update_index(index, rows.where("doc_id = 0"), rows.where("doc_id % 5 = 1"), 4)
-    assert {(r.keep_id, r.group_size) for r in new.collect()} == {(0, 5), (2, 4), (3, 4), (4, 4)}
+    live = lambda table: sorted((r.keep_id, r.group_size) for r in table.collect() if r.digest is not None)
+    assert live(index) == [(i, 4) for i in range(5)] and index.where("digest IS NULL").count() == index.select("bucket").distinct().count()
+    new = materialize(exact_dedup.update_index(index, rows.where("doc_id = 0"), rows.where("doc_id % 5 = 1"), 4), "index")
+    assert live(new) == [(0, 5), (2, 4), (3, 4), (4, 4)]
+    unseen = rows.select((rows["doc_id"] + 100).alias("doc_id"), exact_dedup.digest_of(rows["doc_id"].cast("string")).alias("digest"))
+    assert len(live(exact_dedup.update_index(new, unseen, rows.where("doc_id % 5 = 1"), 4))) == 24
 
 
 def brute_lines(rows):
