@@ -1,18 +1,20 @@
 """Quality rules whose cutoffs carry a guarantee.
 
-Each rule rejects a document when one measure exceeds a cutoff. On labelled rows (quality 1 is good) every stratum,
-rule and cutoff of a fixed grid is a hypothesis "this cutoff rejects more than ``risk`` of the good documents"; it is
-refused when the exact binomial probability of seeing so few rejected good documents under that rate is at most
-``delta`` divided by the number of hypotheses (Bonferroni over strata, rules and grid). Each rule spends an equal share
-of ``risk``, so by the union bound the rules together reject at most ``risk`` of a stratum's good documents, in all
-strata at once, with confidence 1 - ``delta``. The lowest cutoff that is certified is used; a stratum without one (too few
-labels) keeps everything that the base rules keep.
-
-The grid is fixed beforehand and no cutoff is fitted to the rows that certify it, so all labelled rows are holdout.
-
-Defined results: null text has no words; empty text fails the base rules; null strata form a stratum of their own;
+Each rule rejects a document when one measure exceeds a cutoff. A policy is a cutoff for every rule, or none; ``LADDER`` lists
+policies from the most lenient to the strictest, each adding one rule or lowering one cutoff, so that they reject more and more. On labelled rows
+(quality 1 is good) every stratum and step is a hypothesis "this policy rejects more than ``risk`` of the stratum's good documents", refused
+when the exact binomial probability of so few rejected good documents under that rate is at most its level. A stratum's hypotheses are
+tested in the order of the ladder and testing ends with the first that stands: in a fixed sequence every test may use the whole level, so
+the grid costs nothing. The strata share ``delta`` equally (Bonferroni). The last policy refused is the stratum's: with confidence 1 - ``delta``
+no stratum's rules together reject more than ``risk`` of its good documents. ``least_labels`` tells how many good labels without a
+rejection turn the first rule on: 108 at four strata.
+
+Ladder and grid are fixed beforehand and no cutoff is fitted to the rows that certify it, so all labelled rows are holdout.
+
+Defined results: null text has no words; empty text fails the base rules; very long texts are read whole; null strata form a stratum of their own; a
+stratum without certified rules keeps everything that the base rules keep; a measure equal to its cutoff passes;
 labels with a null ``quality`` or ``doc_id`` are not used; of several labels of one id every one counts; rows that repeat count each; without any
-labels no rule is active; other columns are ignored.
+labels no rule is active; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +48,21 @@ GRID = {
 RISK, DELTA = 0.04, 0.05
 
 
+def ladder(grid: dict[str, tuple[int, ...]]) -> list[dict[str, int]]:
+    """Policies from lenient to strict: the rules take turns, each going from its highest cutoff to its lowest."""
+    policy: dict[str, int] = {}
+    steps = []
+    for level in range(max(map(len, grid.values()))):
+        for rule, cuts in grid.items():
+            if level < len(cuts):
+                policy = policy | {rule: sorted(cuts, reverse=True)[level]}
+                steps.append(policy)
+    return steps
+
+
+LADDER = ladder(GRID)
+
+
 def measure(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words. Bytes split at exactly [\\x20\\x09-\\x0D]."""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -108,26 +125,36 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
+def least_labels(risk: float, level: float) -> int:
+    """The fewest good labels that certify a policy which rejects none of them."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
+def _rejects(policy: dict[str, int]) -> str:
+    return " OR ".join(f"{RULES[rule]} > {cut}" for rule, cut in policy.items())
+
+
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """``(stratum, n_good, <rule>_cutoff, <rule>_bound ...)``: one row a stratum with labels; null cutoff: rule off."""
+    """``(stratum, n_good, steps, bound, <rule>_cutoff ...)``: one row a stratum with labels; ``steps``: certified policies; ``bound``: the exact upper
+    bound of the share of good documents that the chosen one rejects; null cutoff: rule off."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("label_id"))
     held = measured.join(good, measured["doc_id"] == good["label_id"])
-    names = [(rule, cut) for rule in RULES for cut in GRID[rule]]
-    counts = [F.sum(F.expr(f"cast({RULES[rule]} > {cut} as long)")).alias(f"{rule}_{cut}") for rule, cut in names]
+    counts = [F.sum(F.expr(f"cast({_rejects(policy)} as long)")).alias(f"step_{i}") for i, policy in enumerate(LADDER)]
     table = materialize(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *counts), "rejected")
-    n_hypotheses = max(1, table.count()) * len(names)
-    share, level = risk / len(RULES), delta / n_hypotheses
-    schema = "stratum string, n_good long, " + ", ".join(f"{rule}_cutoff double, {rule}_bound double" for rule in RULES)
+    level = delta / max(1, table.count())
+    schema = "stratum string, n_good long, steps int, bound double, " + ", ".join(f"{rule}_cutoff double" for rule in RULES)
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
-                n, row = int(r.n_good), [r.stratum, int(r.n_good)]
-                for rule in RULES:
-                    passed = [cut for cut in GRID[rule] if log_binomial_cdf(int(getattr(r, f"{rule}_{cut}")), n, share) <= math.log(level)]
-                    row += [min(passed), upper_bound(int(getattr(r, f"{rule}_{min(passed)}")), n, level)] if passed else [None, None]
-                rows.append(row)
+                n, steps, bound, policy = int(r.n_good), 0, None, {}
+                for i, tried in enumerate(LADDER):
+                    rejected = int(getattr(r, f"step_{i}"))
+                    if log_binomial_cdf(rejected, n, risk) > math.log(level):
+                        break
+                    steps, bound, policy = i + 1, upper_bound(rejected, n, level), tried
+                rows.append([r.stratum, n, steps, bound, *[policy.get(rule) for rule in RULES]])
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return table.mapInPandas(choose, schema)
@@ -135,7 +162,7 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK
 
 def apply_rules(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """``measured`` with base_failed, kept and, for each rule, whether it rejected."""
-    cuts = materialize(cutoffs.withColumnRenamed("stratum", "cut_stratum").drop("n_good"), "cutoffs")
+    cuts = materialize(cutoffs.withColumnRenamed("stratum", "cut_stratum").drop("n_good", "steps", "bound"), "cutoffs")
     rows = measured.join(cuts, measured["stratum"].eqNullSafe(cuts["cut_stratum"]), "left")
     base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
     hits = {rule: F.coalesce(F.expr(f"{RULES[rule]} > {rule}_cutoff"), F.lit(False)) for rule in RULES}
