@@ -5,12 +5,14 @@ file into blocks, finds the end ids of a block in one vectorised comparison and
 Documents that cross blocks are stitched by an exclusive prefix scan of the summaries: the largest end position and the number of ends before a
 block, first over groups of ``SUPER`` blocks and then within each, so that no window holds more than a group or a file's groups.
 
-Files are read by Spark's ``binaryFile`` source, one file in one row, so they must stay below 2 GB; the writer rolls files well
-below that. ``write_token_files`` writes through Spark's committer, with no index beside the files.
+Files are read by Spark's ``binaryFile`` source, one file in one row, so they must stay below 2 GB and one file is one task's work.
+``write_token_files`` therefore closes a file at ``FILE_BYTES``, whatever the lengths of the texts: more data makes more files, not longer ones.
+It writes through Spark's committer, with no index beside the files.
 
 Defined results: tokens after the last end id are a document that is not ``terminated``; two end ids in a row enclose an empty
 document; an empty file or folder gives no rows; a file whose length is no whole number of ids is an error. For the query: null text has
-no tokens, repeated rows are counted each, a null ``doc_id`` stays null, other columns are ignored.
+no tokens, very long texts are whole (their file is as much longer), repeated rows are counted each, a null ``doc_id`` stays null, other
+columns are ignored. No order is kept between files, so there are no ties.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from .words import default_path
 
 BLOCK = 1 << 20
 SUPER = 1024
+FILE_BYTES = 64 << 20
 END_ID = 50_256
 ID_DIGITS, ID_BASE = 5, 1 << 13  # a 64-bit id as token ids that are no end id
 NO_ID = ID_BASE**ID_DIGITS - 1
@@ -61,11 +64,24 @@ def encode_records(docs: DataFrame, tokenizer: str | None = None, label: bool =
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(encode, "record binary")
 
 
-def write_token_files(records: DataFrame, path: str, end_id: int = END_ID, rows_per_file: int = 5_000) -> None:
-    """Flat files of 16-bit ids: each record, then the end id, whose two bytes are the text writer's line separator."""
-    separator = int(end_id).to_bytes(2, "little").decode("latin-1")
-    text = records.select(F.col("record").cast("string").alias("value"))
-    text.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("compression", "none").option("maxRecordsPerFile", rows_per_file).text(path)
+def write_token_files(records: DataFrame, path: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
+    """Flat files of 16-bit ids: each record, then the end id. A row holds the records of one file; its last end id is the text writer's line separator."""
+    end = int(end_id).to_bytes(2, "little")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column("record"):
+                held.append(record.as_py())
+                size += len(held[-1]) + 2
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], ["file"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], ["file"])
+
+    files = records.select("record").mapInArrow(gather, "file binary").select(F.col("file").cast("string").alias("value"))
+    files.write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def _find_ends(files: DataFrame, end_id: int, width: int, block: int, tail: int) -> DataFrame:

@@ -24,6 +24,16 @@ def test_scan_stitches_blocks_like_brute_force(spark, tmp_path, block):
     assert [g[3] for g in got] == list(range(len(got)))
 
 
+def test_files_are_closed_by_size(spark, tmp_path):
+    docs = [[i] * n for i, n in enumerate([3, 0, 500, 2, 2, 2, 90, 1, 1] * 5)]
+    records = spark.createDataFrame([(bytes(np.array(d, "<u2").tobytes()),) for d in docs], "record binary").coalesce(1)
+    T.write_token_files(records, str(tmp_path / "t"), file_bytes=200)
+    sizes = [os.path.getsize(f) for f in glob.glob(str(tmp_path / "t" / "part*"))]
+    assert len(sizes) > 10 and all(s < 200 + 1002 for s in sizes) and sum(sizes) == sum(2 * len(d) + 2 for d in docs)
+    got = sorted((r.file, r.doc_index, r.n_tokens, r.terminated) for r in T.scan_token_files(spark, str(tmp_path / "t"), block=7).collect())
+    assert [g[2:] for g in got] == [(len(d), True) for d in docs]
+
+
 def test_groups_of_blocks_carry_over(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(T, "SUPER", 2)
     data = np.random.default_rng(0).integers(0, 4, 300).astype("<u4")
