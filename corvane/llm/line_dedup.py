@@ -6,7 +6,7 @@ and cut. Counting uses map-side partial aggregation, so that a window found ever
 windows then meet the repeated ones in a join between plain exchanges, which AQE splits where a window is hot.
 
 Defined results: null text counts as empty (one empty line); texts of fewer than three lines have no window and stay;
-rows that repeat id and text count as one document and get the same cut; a null ``doc_id`` sorts first; an empty table
+very long texts are read whole; rows that repeat id and text count as one document and get the same cut; a null ``doc_id`` sorts first; an empty table
 gives no rows; other columns are ignored.
 """
 

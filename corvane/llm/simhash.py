@@ -3,7 +3,7 @@
 1. Fingerprints: XXH64 (seed 42) of every word shingle; a bit is set where over half the hashes set it.
 2. Equal fingerprints are one node from here on, so copies cost nothing further.
 3. Partition: bits that correlate over all fingerprints are put in the same part (greedily, parts of equal width), for one to
-   four parts.
+   six parts.
 4. Allocation: fingerprints at most ``max_bits`` apart agree, in at least one part, up to that part's threshold whenever
    the thresholds t_i >= -1 satisfy sum(t_i + 1) = max_bits + 1 (-1: the part is not probed). The cheapest allocation is found by
    dynamic programming over parts; its costs are the keys written and the candidates expected: pairs that share a
@@ -19,8 +19,8 @@
 every pair, whatever the distance of their fingerprints.
 
 Defined results: null and word-free texts have fingerprint zero, linked like any other; rows with a null ``doc_id`` are
-reported, and a component of null ids only has a null ``component_id``; repeated rows are reported each; an empty table gives no
-rows; columns other than ``doc_id`` and ``text`` are ignored.
+reported, and a component of null ids only has a null ``component_id``; very long texts are read whole; a bit set in exactly half the
+hashes is 0; repeated rows are reported each; an empty table gives no rows; columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scopes = threading.local()
+
+
 @functools.cache
 def _local_scratch() -> str:
     return "file://" + tempfile.mkdtemp(prefix="corvane-")
@@ -24,13 +30,33 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_scratch()
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/corvane-{uuid.uuid4().hex}/{label}"
+def new_folder(spark: SparkSession, label: str, kept: bool = False) -> str:
+    path = f"{scratch_root(spark)}/corvane-{uuid.uuid4().hex}/{label}"
+    if not kept and getattr(_scopes, "made", None) is not None:
+        _scopes.made.append(path)
+    return path
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the folders made within, but those of tables that were ``kept``."""
+    outer, _scopes.made = getattr(_scopes, "made", None), []
+    try:
+        yield
+    finally:
+        made, _scopes.made = _scopes.made, outer
+        for path in made:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, kept: bool = False) -> DataFrame:
     """Write ``df`` once and continue from the files, so that a lost executor never recomputes what came before."""
-    path = new_folder(df.sparkSession, label)
+    path = new_folder(df.sparkSession, label, kept)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,7 +4,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from corvane.llm import queries
+from corvane.llm import queries, storage
 
 from .conftest import ROWS, frame
 
@@ -58,5 +58,12 @@ def test_odd_and_empty_tables(spark, odd, empty, no_labels, tmp_path):
             assert docs.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "").strip(" ") for _, t in ROWS})
         else:
             assert docs.count() == 0
+        packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+        assert sorted({str(r.doc_id) for r in packed}) == sorted({str(r.doc_id) for r in docs.collect()})
+        assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
 
 
+def test_run_leaves_only_the_stages_tables(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "scratch_root", lambda spark: f"file://{tmp_path}")
+    packed = corpus_pipeline.run(spark, sf_dir)
+    assert packed.count() and sorted(p.name for p in tmp_path.glob("*/*")) == sorted(name for name, _ in corpus_pipeline.STAGES)
