@@ -80,7 +80,7 @@ def count_characters(docs: DataFrame) -> np.ndarray:
 class Restorer:
     """Viterbi decoding of tokens; keeps what it has decoded."""
 
-    CACHE = 400_000
+    CACHE = 250_000
 
     def __init__(self, counts: np.ndarray, clues: list[str]):
         tri = counts.astype(float)
@@ -242,6 +242,13 @@ def _wilson(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: what is made of a row here is far larger than the row."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def _prefix_rows(sample: DataFrame, counts: np.ndarray, only: frozenset | None = None) -> DataFrame:
     """The sample's rows as ``(found map<string, int>, toxic)``: prefixes with their numbers, up to ``LEVELS``."""
     restorer = Restorer(counts, [])
@@ -257,7 +264,7 @@ def _prefix_rows(sample: DataFrame, counts: np.ndarray, only: frozenset | None =
         return {p: min(n, LEVELS) for p, n in found.items()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [prefixes(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([[*f.items()] for f in found], pa.map_(pa.string(), pa.int32())), batch.column("toxic")], ["found", "toxic"])
 
@@ -279,7 +286,7 @@ def learn_clues(sample: DataFrame, counts: np.ndarray) -> tuple[list[str], list[
         at.setdefault(prefix, []).append((i, least))
 
     def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             bits = np.zeros((len(batch), len(candidates)), bool)
             for r, found in enumerate(batch.column("found")):
                 bits[r, [i for prefix, n in found.as_py() for i, least in at.get(prefix, ()) if n >= least]] = True
