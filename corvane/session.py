@@ -7,11 +7,16 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import the package from where the driver did; on a cluster, ship it with ``--py-files`` or install it."""
+    """Let Python workers import the package from where the driver did; on a cluster, ship it with ``--py-files`` or install it. Rows here hold whole
+    texts, so Arrow batches get fewer rows than Spark's default, unless the session asks for a number of its own."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
