@@ -17,7 +17,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ]|<\\|")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 
 def default_path(name: str) -> str:
