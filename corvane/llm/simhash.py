@@ -311,7 +311,7 @@ def prefix(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarit
 
 
 def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``(key, id, size)``: each shingle in a document's prefix, and the size of the document's set."""
+    """``(key, id, at, size)``: each shingle in a document's prefix with its place there, and the size of the document's set."""
     frequent = frequent_shingles(docs, shingle)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,19 +320,30 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             keys = [prefix(grams, frequent, similarity) for grams in sets]
             lengths = np.array([*map(len, keys)], np.int64)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            columns = [np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64), np.repeat(ids, lengths), np.repeat(np.array([*map(len, sets)], np.int32), lengths)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int64()), pa.array(columns[2])], ["key", "id", "size"])
+            at = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths] or [np.zeros(0, np.int32)])
+            columns = [np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64), np.repeat(ids, lengths), at, np.repeat(np.array([*map(len, sets)], np.int32), lengths)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int64()), *map(pa.array, columns[2:])], ["key", "id", "at", "size"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "key long, id long, size int")
+    return docs.select("doc_id", "text").mapInArrow(scan, "key long, id long, at int, size int")
 
 
-def _candidates(meets: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)`` of ``meets(a, a_size, b, b_size)``, a row a shared shingle of two prefixes, that share enough of them. All shingles up to the end of
-    the prefix that ends first are counted; that set has ``ceil(similarity * size) - 1`` others, so the rest of what the two must share is in the count."""
-    small, large = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
-    least = F.ceil(similarity / (1 + similarity) * (F.col("a_size") + F.col("b_size")) - 1e-6) - F.ceil(similarity * large - 1e-6) + 1
-    counted = meets.where(small >= similarity * large - 1e-6).groupBy("a", "a_size", "b", "b_size").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") >= least).select("a", "b").distinct()
+def _overlap(similarity: float):
+    """How many shingles the sets a and b must share."""
+    return F.ceil(similarity / (1 + similarity) * (F.col("a_size") + F.col("b_size")) - 1e-6)
+
+
+def _can_meet(similarity: float):
+    """Whether a shingle at these places can be the first that similar sets share: both must have as many left as they must share."""
+    return F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) >= _overlap(similarity)
+
+
+def _likely(meets: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)`` of the rows ``meets(a, a_at, a_size, b, b_at, b_size)``, one a shared shingle of two prefixes, that can be similar as far as these rows
+    tell. Were they all, no similar pair would be missing: they count every shared shingle up to the end of the prefix that ends first,
+    and that set has only ``ceil(similarity * size) - 1`` others."""
+    least = _overlap(similarity) - F.ceil(similarity * F.greatest("a_size", "b_size") - 1e-6) + 1
+    counted = meets.groupBy("a", "a_size", "b", "b_size").agg(F.count(F.lit(1)).alias("n"), F.max(_can_meet(similarity)).alias("can"))
+    return counted.where(F.col("can") & (F.col("n") >= least)).select("a", "b").distinct()
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -368,24 +379,25 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     """``(node, root)`` of ids: every document linked to a smaller one, with the smallest of its group.
 
     Links are all pairs of documents whose sets of word shingles have at least this Jaccard similarity; none is missed. Sets so similar share
-    shingles of their prefixes, the more the closer their sizes are. A document is first compared to the smallest ids of its keys; then every two
-    that share enough keys and are not yet in one group are compared, which leaves out no pair that
-    could change a group. Rows with a null ``doc_id`` are never linked; an id's rows are one document, linked where any of its texts is.
+    a shingle of their prefixes, and at the first one both have as many left as they must share. A document is first compared to the smallest ids of
+    its keys where their shared keys make it likely; then every two that share a key, can meet there and are not yet in one group are compared, which
+    leaves out no pair that could change a group. Rows with a null ``doc_id`` are never linked; an id's rows are one document, linked where any of its
+    texts is.
     """
     docs = docs.where("doc_id IS NOT NULL").selectExpr("cast(doc_id as long) doc_id", "text")
     keys = materialize(_prefixes(docs, shingle, similarity), "keys")
     shared = materialize(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key"), "shared")
-    first = shared.groupBy("key").agg(F.min(F.struct("id", "size")).alias("f")).select("key", F.col("f.id").alias("b"), F.col("f.size").alias("b_size"))
-    star = shared.toDF("key", "a", "a_size").join(first, "key").where("a != b")
-    stars = materialize(_candidates(star, similarity), "stars")
+    first = shared.groupBy("key").agg(F.min(F.struct("id", "at", "size")).alias("f")).select("key", F.col("f.id").alias("b"), F.col("f.at").alias("b_at"), F.col("f.size").alias("b_size"))
+    stars = materialize(_likely(shared.toDF("key", "a", "a_at", "a_size").join(first, "key").where("a != b"), similarity), "stars")
     links = _verified(docs, stars, shingle, similarity)
     roots = connected_components(links)
-    named = shared.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
+    named = shared.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "at", "size", F.coalesce("root", "id").alias("root"))
     named = materialize(named, "named")
     apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     apart = materialize(named.join(apart, "key", "left_semi"), "apart")
-    meet = apart.toDF("key", "a", "a_size", "a_root").join(apart.toDF("key", "b", "b_size", "b_root"), "key").where("a > b AND a_root != b_root")
-    others = materialize(_candidates(meet, similarity).join(stars, ["a", "b"], "left_anti"), "others")
+    a, b = apart.toDF("key", "a", "a_at", "a_size", "a_root"), apart.toDF("key", "b", "b_at", "b_size", "b_root")
+    meet = a.join(b, "key").where("a > b AND a_root != b_root").where(_can_meet(similarity))
+    others = materialize(meet.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "others")
     return connected_components(links.union(_verified(docs, others, shingle, similarity)))
 
 
