@@ -34,17 +34,29 @@ def tokens(text: Column, exact: bool = False) -> Column:
     return F.regexp_extract_all(normal_form(F.coalesce(text, F.lit("")), exact), F.lit(V.TOKEN), 0)
 
 
+def _singular(term: Column) -> Column:
+    long, last = F.length(term) > 4, F.length(term)
+    stem = F.when(long & term.endswith("ies"), F.concat(F.substring(term, F.lit(1), last - 3), F.lit("y")))
+    return stem.when(long & term.endswith("s") & ~term.endswith("ss"), F.substring(term, F.lit(1), last - 1)).otherwise(term)
+
+
+def _synonym(term: Column) -> Column:
+    (first, other), *pairs = V.SYNONYMS.items()
+    told = F.when(term == first, other)
+    for word, other in pairs:
+        told = told.when(term == word, other)
+    return told.otherwise(term)
+
+
 def canonical(term: Column) -> Column:
     """Singular by two suffix rules, then synonyms."""
-    long = F.length(term) > 4
-    stem = F.when(long & term.endswith("ies"), F.regexp_replace(term, "ies$", "y"))
-    stem = stem.when(long & term.endswith("s") & ~term.endswith("ss"), F.regexp_replace(term, "s$", "")).otherwise(term)
-    pairs = F.create_map(*[F.lit(x) for pair in V.SYNONYMS.items() for x in pair])
-    return F.coalesce(F.try_element_at(pairs, stem), stem)
+    return _synonym(_singular(term))
 
 
 def content_of(token_array: Column) -> Column:
-    return F.transform(F.filter(token_array, lambda t: ~t.isin(*sorted(V.STOPWORDS))), canonical)
+    """Two transforms, so that a stem is worked out once."""
+    kept = F.filter(token_array, lambda t: ~t.isin(*sorted(V.STOPWORDS)))
+    return F.transform(F.transform(kept, _singular), _synonym)
 
 
 def content_terms(text: Column, exact: bool = False) -> Column:

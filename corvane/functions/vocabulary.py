@@ -48,7 +48,7 @@ NEGATIVE_CI = r"\b(?:cannot|can't|didn't|doesn't|hadn't|hasn't|haven't|isn't|nev
 UNSAFE_CI = r"(?:ignore\s+(?:all\s+)?(?:previous|prior)\s+instructions|follow\s+(?:these|the)\s+instructions|system\s+prompt|developer\s+prompt|reveal\s+the\s+system|^\s*(?:assistant|system|developer)\s*:)"
 NUMBERED = r"^\s*\d+(?:\.\d+)*[.)]?\s+\S"
 LIST_ITEM_CI = r"^\s*(?:[-*•–—]|o\s+)\s*\S"
-BULLET_CI = r"^(?:[-*•–—]|o\s+)\s*(.+)$"
+BULLET_CI = "^(?:[-*•–—\uf0b7]|o\\s+)\\s*(.+)$"  # the private-use character is the bullet of office files
 PAGE_LEADER = r"(?:\.{3,}|…{2,})\s*\d+\s*$"
 SUBQUESTION_CUT_CI = r"\b(?:and|plus|also|with)\b|[,/;&]"
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.terms import infer_heading, stripped
+from ..tables import materialize
 
 # Where to cut, coarsest first; the last cuts anywhere.
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", "")
@@ -101,6 +102,24 @@ def _split(text: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
     return pd.Series([split_text(t, int(n), int(o)) for t, n, o in zip(text, size, overlap)], dtype=object)
 
 
+def running_number(source: str, order: str, size: Column) -> Column:
+    """How many there are before a row in its source."""
+    before = Window.partitionBy(source).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(size).over(before), F.lit(0))
+
+
+def _offsets(sizes: DataFrame) -> DataFrame:
+    """``(source, offset)``: running sums of ``sizes(source, n)`` in the order of path parts. Sources are dealt to ranges; each range sums its own
+    rows, and only the ranges' totals, one row a task, meet in one place."""
+    ranged = sizes.withColumn("parts", F.split("source", "/")).repartitionByRange("parts").withColumn("range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    inside = Window.partitionBy("range").orderBy("parts").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("range").agg(F.sum("n").alias("total")).select("range", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    summed = ranged.select("source", "range", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("within")).join(totals, "range")
+    return summed.select("source", (F.col("base") + F.col("within")).alias("offset"))
+
+
 def chunk_sections(sections: DataFrame, size: int | None = None, overlap: int | None = None) -> DataFrame:
     """Sections ``(source, section, page, text)`` to chunks ``(chunk_id, position, source, page, heading, text)``.
 
@@ -114,15 +133,13 @@ def chunk_sections(sections: DataFrame, size: int | None = None, overlap: int |
     limits = chunk_limits(F.col("text"))
     told = sections.where(stripped(F.col("text")) != "").withColumns({"size": F.lit(size) if size else limits["size"], "overlap": F.lit(overlap) if overlap is not None else limits["overlap"]})
     fits = F.when(F.col("size") > F.col("overlap"), F.col("size")).otherwise(F.raise_error(F.lit("chunk size must exceed the overlap")).cast("int"))
-    pieces = told.withColumn("pieces", _split("text", fits, "overlap"))
-    before = Window.partitionBy("source").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = pieces.withColumn("before", F.coalesce(F.sum(F.size("pieces")).over(before), F.lit(0)))
-    each = numbered.select("source", "page", infer_heading(F.col("text")).alias("heading"), "before", F.posexplode("pieces").alias("i", "piece"))
+    cut = told.select("source", "section", "page", infer_heading(F.col("text")).alias("heading"), _split("text", fits, "overlap").alias("pieces"))
+    pieces = materialize(cut, "pieces")
+    numbered = pieces.withColumn("before", running_number("source", "section", F.size("pieces")))
+    each = numbered.select("source", "page", "heading", "before", F.posexplode("pieces").alias("i", "piece"))
     number = F.col("before") + F.col("i") + 1
     rows = each.select("source", "page", "heading", F.col("piece").alias("text"), number.alias("number"))
     sizes = pieces.groupBy("source").agg(F.sum(F.size("pieces")).alias("n"))
-    order = Window.orderBy(F.split("source", "/")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("source", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("offset"))
-    placed = rows.join(offsets, "source")
+    placed = rows.join(_offsets(sizes), "source")
     return placed.select(chunk_id(F.col("source"), F.col("number"), F.col("page"), F.col("text")).alias("chunk_id"), (F.col("offset") + F.col("number") - 1).alias("position"), "source", "page", "heading", "text")
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import content_terms, term_set
+from ..tables import materialize
 
 K1, B = 1.2, 0.75
 
@@ -24,14 +25,20 @@ class Index:
     stats: DataFrame  # one row: n_chunks, average_length
 
 
+META, HEAD = "\x01", "\x02"  # no term holds a control character
+
+
 def term_bags(chunks: DataFrame, exact: bool = False) -> DataFrame:
-    """``(chunk_id, term, tf, in_meta, in_head, length)``; one map-side aggregation for body, source and heading together."""
+    """``(chunk_id, term, tf, in_meta, in_head)``; one map-side aggregation for body, source and heading together. Terms of source and heading bear a
+    mark, those of the body, by far the most, are exploded as they are."""
     heading = F.coalesce("heading", F.lit(""))
-    body = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("b"), F.lit(0).alias("m"), F.lit(0).alias("h")))
-    meta = F.transform(term_set(F.concat_ws(" ", "source", heading), exact), lambda t: F.struct(t.alias("term"), F.lit(0).alias("b"), F.lit(1).alias("m"), F.lit(0).alias("h")))
-    head = F.transform(term_set(heading, exact), lambda t: F.struct(t.alias("term"), F.lit(0).alias("b"), F.lit(0).alias("m"), F.lit(1).alias("h")))
-    each = chunks.withColumn("terms", content_terms(F.col("text"), exact)).select("chunk_id", F.size("terms").alias("length"), F.explode(F.concat(body, meta, head)).alias("e"))
-    return each.groupBy("chunk_id", "e.term").agg(F.sum("e.b").cast("int").alias("tf"), F.max("e.m").alias("in_meta"), F.max("e.h").alias("in_head"), F.max("length").alias("length"))
+    meta = F.transform(term_set(F.concat_ws(" ", "source", heading), exact), lambda t: F.concat(F.lit(META), t))
+    head = F.transform(term_set(heading, exact), lambda t: F.concat(F.lit(HEAD), t))
+    each = chunks.select("chunk_id", F.explode(F.concat(content_terms(F.col("text"), exact), meta, head)).alias("e"))
+    marked = {mark: F.col("e").startswith(mark) for mark in (META, HEAD)}
+    either = marked[META] | marked[HEAD]
+    told = each.select("chunk_id", F.when(either, F.expr("substring(e, 2)")).otherwise(F.col("e")).alias("term"), (~either).cast("int").alias("b"), marked[META].cast("int").alias("m"), marked[HEAD].cast("int").alias("h"))
+    return told.groupBy("chunk_id", "term").agg(F.sum("b").cast("int").alias("tf"), F.max("m").alias("in_meta"), F.max("h").alias("in_head"))
 
 
 def corpus_stats(chunks: DataFrame, exact: bool = False) -> DataFrame:
@@ -45,10 +52,13 @@ def document_frequency(bags: DataFrame) -> DataFrame:
 
 
 def build_index(chunks: DataFrame, exact: bool = False) -> Index:
-    """Weights hold everything but the question: idf and the length-normalised frequency."""
-    bags = term_bags(chunks, exact)
-    stats = corpus_stats(chunks, exact)
-    rated = bags.join(document_frequency(bags), "term", "left").crossJoin(F.broadcast(stats))  # stats: one row
+    """Weights hold everything but the question: idf and the length-normalised frequency. Texts are read once: all else comes from the stored bags."""
+    bags = materialize(term_bags(chunks, exact), "bags")
+    lengths = bags.groupBy("chunk_id").agg(F.sum("tf").alias("length"))
+    n = chunks.agg(F.count(F.lit(1)).alias("n_chunks"))
+    total = lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
+    stats = materialize(n.crossJoin(total).select("n_chunks", F.when(F.col("total") == 0, 1.0).otherwise(F.col("total") / F.col("n_chunks")).alias("average_length")), "stats")  # one row each
+    rated = bags.join(document_frequency(bags), "term", "left").join(lengths, "chunk_id").crossJoin(F.broadcast(stats))
     df = F.coalesce("df", F.lit(0))
     idf = F.log(1 + (F.col("n_chunks") - df + 0.5) / (df + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average_length")))

@@ -19,6 +19,7 @@ from ..operators import reports as P
 from ..operators import retrieval as R
 from ..operators.index import build_index, corpus_stats, document_frequency, term_bags
 from ..sources import store as ST
+from ..tables import materialize
 from . import sql as S
 
 QUERIES = {}
@@ -163,7 +164,7 @@ SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY hit, ra
 def neighbor_expand(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("source").orderBy("chunk_id"))
     near = chunks(spark, sf_dir).withColumn("position", place.cast("long"))
-    hits = _hybrid(spark, sf_dir, 3).drop("position").join(near.select("chunk_id", "position"), "chunk_id")
+    hits = materialize(_hybrid(spark, sf_dir, 3), "ranked").drop("position").join(near.select("chunk_id", "position"), "chunk_id")
     return R.expand_neighbours(hits, near, 2).select("question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", six("score"), "kind")
 
 
@@ -227,9 +228,8 @@ def recursive_chunks(spark, sf_dir):
 @query("""WITH l AS (SELECT source, doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents)
 SELECT source, doc_id, n_lines, coalesce(sum(n_lines) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM l""")
 def running_position(spark, sf_dir):
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     lines = table(spark, sf_dir, "documents").select("source", "doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
-    return lines.withColumn("before", F.coalesce(F.sum("n_lines").over(before), F.lit(0)))
+    return lines.withColumn("before", C.running_number("source", "doc_id", F.col("n_lines")))
 
 
 # ---- question functions, on inline questions and on all documents' texts
@@ -425,18 +425,14 @@ def context_fit(spark, sf_dir):
     return _per_question(_hits(spark, sf_dir, 10), fit, "question_id long, place long, chunk_id string, n_chars long")
 
 
-@query(rf"""WITH l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'line': i, 'txt': {S.compact('x')}}}), recursive := true) FROM documents),
+@query(rf"""WITH l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'line': i, 'txt': {S.strip('x')}}}), recursive := true) FROM documents),
 s AS (SELECT doc_id, line, unnest(list_transform(list_filter(regexp_split_to_array(regexp_replace(txt, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x != ''), lambda x, i: {{'i': i, 'sentence': x}}), recursive := true) FROM l),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, {S.low('sentence')} ORDER BY line, i) AS turn FROM s)
-SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (WHERE turn = 1) AS n_distinct, md5(string_agg(sentence, '|' ORDER BY line, i) FILTER (WHERE turn = 1)) AS digest FROM r GROUP BY doc_id""")
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, {S.low(S.compact('sentence'))} ORDER BY line, i) AS turn FROM s),
+told AS (SELECT doc_id, line, string_agg({S.strip('sentence')}, ' ' ORDER BY i) AS said FROM r WHERE turn = 1 GROUP BY doc_id, line)
+SELECT doc_id, md5(coalesce(string_agg(said, chr(10) ORDER BY line), '')) AS digest FROM documents LEFT JOIN told USING (doc_id) GROUP BY doc_id""")
 def answer_dedup(spark, sf_dir):
-    """Repeated sentences of each document, relationally: the first of each stays."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "txt"))
-    each = lines.select("doc_id", "line", F.posexplode(F.split(T.compact(F.col("txt")), r"(?<=[.!?])\s+")).alias("i", "sentence")).where("sentence != ''")
-    first = Window.partitionBy("doc_id", T.normal_form(F.col("sentence"))).orderBy("line", "i")
-    turns = each.withColumn("fresh", F.row_number().over(first) == 1)
-    kept = F.sort_array(F.collect_list(F.when(F.col("fresh"), F.struct("line", "i", "sentence"))))
-    return turns.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.count_if("fresh").alias("n_distinct"), F.md5(F.array_join(F.transform(kept, lambda s: s["sentence"]), "|")).alias("digest"))
+    """Every document as an answer: the first of equal sentences stays."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(A.drop_repeats_column("text")).alias("digest"))
 
 
 REPLIES = [
