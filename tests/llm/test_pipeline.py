@@ -4,7 +4,8 @@ import re
 import pytest
 
 import corpus_pipeline
-from corvane.llm import queries, storage
+from corvane import tables
+from corvane.llm import queries
 
 from .conftest import ROWS, frame
 
@@ -64,6 +65,6 @@ def test_odd_and_empty_tables(spark, odd, empty, no_labels, tmp_path):
 
 
 def test_run_leaves_only_the_stages_tables(spark, sf_dir, tmp_path, monkeypatch):
-    monkeypatch.setattr(storage, "scratch_root", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(tables, "scratch_root", lambda spark: f"file://{tmp_path}")
     packed = corpus_pipeline.run(spark, sf_dir)
     assert packed.count() and sorted(p.name for p in tmp_path.glob("*/*")) == sorted(name for name, _ in corpus_pipeline.STAGES)
