@@ -337,13 +337,26 @@ def _can_meet(similarity: float):
     return F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) >= _overlap(similarity)
 
 
-def _likely(meets: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)`` of the rows ``meets(a, a_at, a_size, b, b_at, b_size)``, one a shared shingle of two prefixes, that can be similar as far as these rows
-    tell. Were they all, no similar pair would be missing: they count every shared shingle up to the end of the prefix that ends first,
-    and that set has only ``ceil(similarity * size) - 1`` others."""
-    least = _overlap(similarity) - F.ceil(similarity * F.greatest("a_size", "b_size") - 1e-6) + 1
+def _least_shared(similarity: float):
+    """How many shingles of their prefixes similar sets share at least: up to the end of the prefix that ends first all shared ones lie in both, and
+    that set has only ``ceil(similarity * size) - 1`` others."""
+    return _overlap(similarity) - F.ceil(similarity * F.greatest("a_size", "b_size") - 1e-6) + 1
+
+
+def _likely_stars(shared: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: documents with the smallest id of one of their keys, where the keys of which it is the smallest make similarity likely."""
+    first = shared.groupBy("key").agg(F.min(F.struct("id", "at", "size")).alias("f")).select("key", F.col("f.id").alias("b"), F.col("f.at").alias("b_at"), F.col("f.size").alias("b_size"))
+    meets = shared.toDF("key", "a", "a_at", "a_size").join(first, "key").where("a != b")
     counted = meets.groupBy("a", "a_size", "b", "b_size").agg(F.count(F.lit(1)).alias("n"), F.max(_can_meet(similarity)).alias("can"))
-    return counted.where(F.col("can") & (F.col("n") >= least)).select("a", "b").distinct()
+    return counted.where(F.col("can") & (F.col("n") >= _least_shared(similarity))).select("a", "b").distinct()
+
+
+def _likely_pairs(shared: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)`` of those ``pairs(a, a_size, b, b_size)`` that share enough keys. A document's list holds its own shared keys only."""
+    lists = materialize(shared.groupBy("id", "size").agg(F.collect_list("key").alias("keys")), "lists")
+    a, b = lists.toDF("a", "a_size", "a_keys"), lists.toDF("b", "b_size", "b_keys")
+    both = pairs.join(a, ["a", "a_size"]).join(b, ["b", "b_size"])
+    return both.where(F.size(F.array_intersect("a_keys", "b_keys")) >= _least_shared(similarity)).select("a", "b").distinct()
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -387,8 +400,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     docs = docs.where("doc_id IS NOT NULL").selectExpr("cast(doc_id as long) doc_id", "text")
     keys = materialize(_prefixes(docs, shingle, similarity), "keys")
     shared = materialize(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key"), "shared")
-    first = shared.groupBy("key").agg(F.min(F.struct("id", "at", "size")).alias("f")).select("key", F.col("f.id").alias("b"), F.col("f.at").alias("b_at"), F.col("f.size").alias("b_size"))
-    stars = materialize(_likely(shared.toDF("key", "a", "a_at", "a_size").join(first, "key").where("a != b"), similarity), "stars")
+    stars = materialize(_likely_stars(shared, similarity), "stars")
     links = _verified(docs, stars, shingle, similarity)
     roots = connected_components(links)
     named = shared.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "at", "size", F.coalesce("root", "id").alias("root"))
@@ -397,7 +409,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     apart = materialize(named.join(apart, "key", "left_semi"), "apart")
     a, b = apart.toDF("key", "a", "a_at", "a_size", "a_root"), apart.toDF("key", "b", "b_at", "b_size", "b_root")
     meet = a.join(b, "key").where("a > b AND a_root != b_root").where(_can_meet(similarity))
-    others = materialize(meet.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "others")
+    pairs = materialize(meet.select("a", "a_size", "b", "b_size").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    others = materialize(_likely_pairs(shared, pairs, similarity), "others")
     return connected_components(links.union(_verified(docs, others, shingle, similarity)))
 
 
