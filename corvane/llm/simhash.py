@@ -41,7 +41,7 @@ BITS = 64
 GROUP = 256
 PARTS = range(1, 7)
 KEY_COST = 300  # of writing a key, in pairs compared
-SAMPLE_ROWS, FREQUENT = 10_000, 200_000  # rows looked at for frequent shingles, and how many shingles are kept
+SAMPLE_ROWS, FREQUENT = 50_000, 500_000  # rows looked at for frequent shingles, and how many shingles are kept
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
