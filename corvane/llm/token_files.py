@@ -31,7 +31,7 @@ from .words import default_path
 
 BLOCK = 1 << 20
 SUPER = 1024
-FILE_BYTES = 64 << 20
+FILE_BYTES, ROW_BYTES = 32 << 20, 256 << 10
 END_ID = 50_256
 ID_DIGITS, ID_BASE = 5, 1 << 13  # a 64-bit id as token ids that are no end id
 NO_ID = ID_BASE**ID_DIGITS - 1
@@ -65,8 +65,9 @@ def encode_records(docs: DataFrame, tokenizer: str | None = None, label: bool =
 
 
 def write_token_files(records: DataFrame, path: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
-    """Flat files of 16-bit ids: each record, then the end id. A row holds the records of one file; its last end id is the text writer's line separator."""
-    end = int(end_id).to_bytes(2, "little")
+    """Flat files of 16-bit ids: each record, then the end id. Rows of ``ROW_BYTES`` hold several records, so that so many rows a file make files of a size;
+    the last end id of a row is the text writer's line separator."""
+    end, row_bytes = int(end_id).to_bytes(2, "little"), min(ROW_BYTES, file_bytes)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -74,14 +75,14 @@ def write_token_files(records: DataFrame, path: str, end_id: int = END_ID, file_
             for record in batch.column("record"):
                 held.append(record.as_py())
                 size += len(held[-1]) + 2
-                if size >= file_bytes:
+                if size >= row_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], ["file"])
                     held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], ["file"])
 
     files = records.select("record").mapInArrow(gather, "file binary").select(F.col("file").cast("string").alias("value"))
-    files.write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+    files.write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("compression", "none").option("maxRecordsPerFile", file_bytes // row_bytes).text(path)
 
 
 def _find_ends(files: DataFrame, end_id: int, width: int, block: int, tail: int) -> DataFrame:
