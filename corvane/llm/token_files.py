@@ -31,7 +31,7 @@ from .words import default_path
 
 BLOCK = 1 << 20
 SUPER = 1024
-FILE_BYTES, ROW_BYTES = 32 << 20, 256 << 10
+FILE_BYTES, ROW_BYTES = 8 << 20, 256 << 10
 END_ID = 50_256
 ID_DIGITS, ID_BASE = 5, 1 << 13  # a 64-bit id as token ids that are no end id
 NO_ID = ID_BASE**ID_DIGITS - 1
