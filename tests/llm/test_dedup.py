@@ -259,3 +259,33 @@ def test_block_edits_far_apart_in_bits_are_found(spark):
     far = [i for i in range(0, 300, 2) if ((brute_fingerprint(rows[i][1]) ^ brute_fingerprint(rows[i + 1][1])).bit_count()) > 11]
     assert far
     assert {r.node: r.root for r in simhash.similar_groups(frame(spark, rows)).collect()} == {i + 1: i for i in range(0, 300, 2)}
+
+
+def test_similar_groups_by_brute_force(spark):
+    """Families of edited texts of many sizes, over a shared passage, against every pair's Jaccard similarity."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(4))
+    passage, rows = [word() for _ in range(60)], [(90_000, ""), (90_001, None), (90_002, "one two"), (90_003, "one two")]
+    for family in range(40):
+        base = [word() for _ in range(rng.choice([8, 30, 80, 200]))] + (passage if family % 2 else [])
+        for copy in range(rng.randint(1, 5)):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(words) // 40))):
+                words[rng.randrange(len(words))] = word()
+            cut = rng.choice([0, 0, len(words) // 12, len(words) // 6])
+            rows.append((family * 10 + copy, " ".join(words[cut:])))
+    rng.shuffle(rows)
+    sets = {i: set(simhash.shingle_set(t or "", 5).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in links:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    got = {r.node: r.root for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert got == {i: top(i) for i in sets if top(i) != i} and len(links) > 60
