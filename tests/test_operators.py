@@ -212,3 +212,18 @@ def test_reports(spark):
     assert {tuple(r) for r in P.source_counts(pages).collect()} == {("x.pdf", 3, 1), ("y.md", 1, 0)}
     told = spark.createDataFrame([(1, "dense ice", ["a"], ["dense ice here"], [0.1]), (2, "green cheese moon", ["a"], ["moon cheese"], [0.4]), (3, "x", [], [], [])], "question_id int, answer string, sources array<string>, texts array<string>, confidences array<double>")
     assert {r.question_id: r.level for r in P.confidence_report(told).collect()} == {1: "High", 2: "Medium", 3: "Low"}
+
+
+def test_office_bullets_are_items():
+    text = "A plain line of text that ends here.\n\uf0b7 wear gloves.\n\uf0b7 wear boots."
+    assert A.format_quote(text) == "A plain line of text that ends here.\n- wear gloves.\n- wear boots."
+
+
+def test_offsets_of_sources_follow_path_parts(spark):
+    names = ["b/1", "a/2", "a/10", "a", "c", "a/2/x"] + [f"z/{i:03}" for i in range(60)]
+    sizes = {n: i % 7 for i, n in enumerate(names)}
+    got = {r.source: r.offset for r in C._offsets(spark.createDataFrame(list(sizes.items()), "source string, n long")).collect()}
+    want, total = {}, 0
+    for name in sorted(names, key=lambda n: n.split("/")):
+        want[name], total = total, total + sizes[name]
+    assert got == want
