@@ -9,16 +9,17 @@
    ``k - m + 1`` of each. Only those are merged; the long lists behind them are skipped, and the collisions there are counted by
    comparing the two signatures.
 5. Each list is first merged against a pivot, one of a few that the lists of a group of copies share. Survivors of the match threshold are confirmed on
-   the full sets and give groups. A list whose nodes are by then in one group needs nothing more; the others are merged against a pivot of their own.
+   the full sets and give groups. A list whose nodes are by then in one group needs nothing more.
    Where a list still holds several groups, its nodes are dealt to blocks, any two blocks meet in one row, and pairs of different groups above the
-   threshold, each in the first list that both are posted in, are confirmed in turn. So no link that joins two groups is left out, and no list's
+   threshold, each in the first list that both are posted in, are confirmed in turn. Confirming reads the texts of the pairs again, which a bitmap of fixed
+   size picks, so that neither texts nor the sets of other documents are shuffled. So no link that joins two groups is left out, and no list's
    pairs are ever written out.
 6. Connected components; a component is named by its smallest ``doc_id``.
 
 Defined results: null and word-free texts have an empty set, linked with nothing, not even with each other; fewer words than a shingle give the whole
 sequence as the only shingle; rows with a null ``doc_id`` are reported, and a component of null ids only has a null ``component_id`` (and is ``kept``);
 rows that repeat an id are reported each, by their own text; very long texts are read whole; an empty table gives no rows; columns other than
-``doc_id`` and ``text`` are ignored. Sets are told apart by a 64-bit hash.
+``doc_id`` and ``text`` are ignored. Sets are told apart by a 64-bit hash; within a pair shingles are compared by 40 bits.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ MISS = 1e-7
 PIVOTS = 4
 BLOCK = 1024  # nodes of a list compared at once
 SLICE = 1024  # shingles hashed at once
+BITS, WORD = 1 << 24, 1 << 15  # of the bitmap that tells which texts are read again: 2 MB whatever the input; of a row of Spark's bitmaps
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -100,13 +102,15 @@ def sketches(docs: DataFrame, shingle: int, coordinates: int) -> DataFrame:
 
 
 def prefix_posts(nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """``(key, node)``: of each node the rarest shared pairs among its first ``coordinates - matches + 1``."""
+    """``(key, node, coordinates)``: of each node the rarest shared pairs among its first ``coordinates - matches + 1``, and the bits of their coordinates."""
     key = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
     posts = nodes.select("node", F.posexplode("signature")).select("node", key.alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     own = posts.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"))  # at most one entry a coordinate
     room = F.lit(coordinates - matches + 1) - (F.lit(coordinates) - F.size("own"))
-    return own.where(room > 0).select("node", F.explode(F.slice("own", F.lit(1), room)).alias("e")).select(F.col("e.key").alias("key"), "node")
+    posted = own.where(room > 0).select("node", F.slice("own", F.lit(1), room).alias("posted"))
+    bits = F.expr("aggregate(posted, 0L, (bits, e) -> bits | shiftleft(1L, cast(shiftright(e.key, 32) as int)))")
+    return posted.select("node", bits.alias("coordinates"), F.explode("posted").alias("e")).select(F.col("e.key").alias("key"), "node", "coordinates")
 
 
 def _values(column: pa.Array) -> np.ndarray:
@@ -126,39 +130,70 @@ def _matching(pairs: DataFrame, nodes: DataFrame, percent: int, matches: int) ->
     return pairs.join(a, "a").join(b, "b").where(fit).select("a", "b", "x", "y").mapInArrow(count, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(node, grams)`` of the nodes ``wanted(node, least_id)``, from one document of each."""
+def _marked(nodes: DataFrame) -> np.ndarray:
+    """Bits of the hashed ids of ``nodes(least_id)``; the last one tells of a null id. Many ids only fill it, so that more texts than needed are read."""
+    at = F.coalesce(F.pmod(F.xxhash64("least_id"), F.lit(BITS)), F.lit(BITS))
+    marks = nodes.where("least_id IS NOT NULL").select(at.alias("at")).union(nodes.where("least_id IS NULL").limit(1).select(F.lit(BITS).cast("long")))
+    words = marks.groupBy(F.floor(F.col("at") / WORD).alias("word")).agg(F.bitmap_construct_agg(F.col("at") % WORD).alias("bits"))
+    bits = np.zeros(BITS // 8 + WORD // 8, np.uint8)
+    for r in words.collect():  # at most BITS / WORD + 1 rows of 4 KB
+        bits[r["word"] * (WORD // 8) : (r["word"] + 1) * (WORD // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    """The upper 40 bits of sorted 64-bit hashes: within two sets they are as good as distinct."""
+    return (grams >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def _full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``(node, grams)`` of at least the ``nodes(node, least_id)``, by reading their texts again; no text is shuffled."""
     import xxhash
 
+    bits = _marked(nodes)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py() or "", shingle).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([_signed(xxhash.xxh3_64_intdigest(g)) for g in sets], pa.int64()), pa.array(sets, pa.binary())], ["node", "grams"])
+            at = batch.column("at").to_numpy(zero_copy_only=False)
+            wanted = batch.column("text").filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            sets = [shingle_set(t.as_py() or "", shingle) for t in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([_signed(xxhash.xxh3_64_intdigest(g.tobytes())) for g in sets], pa.int64()), pa.array([*map(_packed, sets)], pa.binary())], ["node", "grams"])
+
+    at = F.when(F.col("doc_id").isNull(), F.lit(BITS)).otherwise(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS)))
+    return docs.select("text", at.cast("long").alias("at")).mapInArrow(scan, "node long, grams binary")
 
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    ids = wanted.where("least_id IS NOT NULL").select(F.col("least_id").alias("doc_id")).distinct()
-    rows = rows.join(ids, "doc_id", "left_semi").unionByName(rows.where("doc_id IS NULL"))
-    return rows.select("text").mapInArrow(scan, "node long, grams binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The ``pairs(a, b)`` whose full sets are similar."""
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = _unpacked(x.as_py()), _unpacked(y.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = materialize(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+    sets = materialize(_full_sets(docs, nodes.select("node", "least_id").join(wanted, "node", "left_semi"), shingle), "sets").groupBy("node").agg(F.first("grams").alias("grams"))
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
+    return materialize(joined.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"), "links")
 
 
-def _pivot_pairs(lists: DataFrame, salt) -> DataFrame:
-    """``(a, b)``: the nodes of ``lists(key, node, root)`` with a pivot of their list that is in another group; equal salts choose alike."""
-    first = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", salt).alias("h"), "node", "root")).alias("p"))
-    met = lists.join(first.select("key", F.col("p.node").alias("b"), F.col("p.root").alias("b_root")), "key").where("root != b_root")
+def _pivot_pairs(posts: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """``(a, b)``: the nodes of ``posts(key, node)`` with the pivot of their list; lists choose in one of so many ways."""
+    first = posts.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(pivots))).alias("h"), "node")).alias("p"))
+    met = posts.join(first.select("key", F.col("p.node").alias("b")), "key").where("node != b")
     return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
@@ -182,9 +217,11 @@ def _across(lists: DataFrame, nodes: DataFrame, percent: int, matches: int, bloc
                 seen, posted = _values(members.field("signature")), posted.view(np.uint64)
                 here = np.uint64(1 << (batch.column("key")[i].as_py() >> 32))
                 crossed = batch.column("low")[i].as_py() != batch.column("high")[i].as_py()
-                for at in np.flatnonzero(own == 0) if crossed else range(len(node)):
-                    others = np.flatnonzero(own == 1) if crossed else np.arange(at + 1, len(node))
-                    fit = others[(root[others] != root[at]) & (100 * np.minimum(size[others], size[at]) >= percent * np.maximum(size[others], size[at]))]
+                roots, counts = np.unique(root, return_counts=True)
+                rest = root != roots[counts.argmax()]  # pairs within the largest group are linked already
+                for at in np.flatnonzero(rest):
+                    others = np.flatnonzero((~rest | (np.arange(len(node)) > at)) & (root != root[at]) & ((own != own[at]) | (not crossed)))
+                    fit = others[100 * np.minimum(size[others], size[at]) >= percent * np.maximum(size[others], size[at])]
                     equal = np.zeros((len(fit), 64), bool)
                     equal[:, : seen.shape[1]] = seen[fit] == seen[at]
                     equal = np.packbits(equal, axis=1, bitorder="little").view("<u8").ravel()
@@ -222,18 +259,12 @@ def minhash_groups(docs: DataFrame, shingle: int = 2, percent: int = 80, coordin
     # sets that differ and are this similar share percent / (100 - percent) shingles at least
     linkable = nodes.where(F.col("size") * (100 - percent) >= percent)
     posts = materialize(prefix_posts(linkable, coordinates, matches), "posts")
-    posts = posts.join(posts.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
-    places = posts.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(key, 32) as int))")).alias("coordinates"))
-    posts = materialize(posts.join(places, "node"), "lists")
-    involved = materialize(posts.select("node").distinct().join(nodes.select("node", "least_id"), "node"), "involved")
-    sets = materialize(_full_sets(docs, involved, shingle), "sets")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return materialize(_confirmed(_matching(pairs, nodes, percent, matches), sets, percent), "links")
-
-    links = linked(_pivot_pairs(posts.select("key", "node", F.col("node").alias("root")), F.pmod("key", F.lit(PIVOTS))))
-    links = links.union(linked(_pivot_pairs(_apart(posts, links), F.col("key"))))
-    links = links.union(materialize(_confirmed(_across(_apart(posts, links), nodes, percent, matches, block), sets, percent), "links"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return _confirmed(pairs, docs, nodes, shingle, percent)
+
+    links = confirmed(_matching(_pivot_pairs(posts), nodes, percent, matches))
+    links = links.union(confirmed(_across(_apart(posts, links), nodes, percent, matches, block)))
     found = rows.join(_named_by_id(nodes, links), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

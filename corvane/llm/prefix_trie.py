@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, read_table
+from .storage import fresh_name, materialize, read_table
 
 HEADS = 6  # a conversation takes fewer first turns from the start of its hundred
 PRIMES, BASES = (2147483647, 2147483629), (1_103_515_245, 1_664_525_011)
@@ -77,12 +77,12 @@ def segmented_scan(rows: DataFrame, key: str, order: list[Column], values: list[
 
     sorted_rows = rows.repartitionByRange(_partitions(rows), key, *order).sortWithinPartitions(key, *order)
     local = materialize(sorted_rows.mapInArrow(scan, schema), "scanned")
-    cut = local.groupBy(key).agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select(F.col(key).alias("k"))
-    sums = local.join(cut, local[key] == cut["k"], "left_semi").groupBy(key, "block").agg(*[F.sum(v).alias(v) for v in values])
-    later = sums.select(F.col(key).alias("k"), F.col("block").alias("from"), *[F.col(v).alias(f"{v}_carry") for v in values])
-    cut_sums = sums.select(F.col(key).alias("k"), F.col("block").alias("b"))
-    carried = cut_sums.join(later, "k").where("from < b").groupBy("k", "b").agg(*[F.sum(f"{v}_carry").alias(f"{v}_carry") for v in values])
-    joined = local.join(carried, (local[key] == carried["k"]) & (local["block"] == carried["b"]), "left")
+    segment, at = fresh_name("segment", local.columns), fresh_name("at_block", local.columns)
+    cut = local.groupBy(F.col(key).alias(segment)).agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select(segment)
+    sums = local.join(cut, local[key] == cut[segment], "left_semi").groupBy(F.col(key).alias(segment), F.col("block").alias(at)).agg(*[F.sum(v).alias(f"{v}_carry") for v in values])
+    later = sums.select(segment, F.col(at).alias("from"), *[f"{v}_carry" for v in values])
+    carried = sums.select(segment, at).join(later, segment).where(F.col("from") < F.col(at)).groupBy(segment, at).agg(*[F.sum(f"{v}_carry").alias(f"{v}_carry") for v in values])
+    joined = local.join(carried, (local[key] == carried[segment]) & (local["block"] == carried[at]), "left")
     whole = [F.col(n) + F.coalesce(F.col(f"{v}_carry"), F.lit(0)) for n, v in zip(names, values)]
     if modulus is not None:
         whole = [F.pmod(w, F.lit(m)) for w, m in zip(whole, modulus)]
