@@ -8,12 +8,11 @@
 4. Prefix: in the order of how many nodes share a pair, rarest first, nodes with ``m`` of ``k`` coordinates in common share one of the first
    ``k - m + 1`` of each. Only those are merged; the long lists behind them are skipped, and the collisions there are counted by
    comparing the two signatures.
-5. Each list is first merged against a pivot, one of a few that the lists of a group of copies share. Survivors of the match threshold are confirmed on
-   the full sets and give groups. A list whose nodes are by then in one group needs nothing more.
-   Where a list still holds several groups, its nodes are dealt to blocks, any two blocks meet in one row, and pairs of different groups above the
-   threshold, each in the first list that both are posted in, are confirmed in turn. Confirming reads the texts of the pairs again, which a bitmap of fixed
-   size picks, so that neither texts nor the sets of other documents are shuffled. So no link that joins two groups is left out, and no list's
-   pairs are ever written out.
+5. Each list is first merged against its pivot, the node whose pairs are shared most often, which is the middle of a group of copies. Survivors of the
+   match threshold are confirmed on the full sets and give groups. A list whose nodes are by then in one group needs nothing more. The others are
+   gathered by their pivot, so that the many lists of one group count once; their nodes, with signatures and full sets, are dealt to blocks,
+   any two blocks meet in one row, and pairs of different groups above the threshold are confirmed there. So no link that joins two groups is left
+   out, and no list's pairs are ever written out. Confirming reads texts again, which a bitmap of fixed size picks, so that no text is shuffled.
 6. Connected components; a component is named by its smallest ``doc_id``.
 
 Defined results: null and word-free texts have an empty set, linked with nothing, not even with each other; fewer words than a shingle give the whole
@@ -30,16 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import materialize, read_table
 
-COORDINATES = 64  # at most, so that a node's posted coordinates are the bits of a long
+COORDINATES = 64
 MISS = 1e-7
-PIVOTS = 4
-BLOCK = 1024  # nodes of a list compared at once
+BLOCK, BLOCK_SHINGLES = 512, 500_000  # nodes compared at once, and the shingles they have
 SLICE = 1024  # shingles hashed at once
 BITS, WORD = 1 << 24, 1 << 15  # of the bitmap that tells which texts are read again: 2 MB whatever the input; of a row of Spark's bitmaps
 
@@ -102,15 +100,15 @@ def sketches(docs: DataFrame, shingle: int, coordinates: int) -> DataFrame:
 
 
 def prefix_posts(nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """``(key, node, coordinates)``: of each node the rarest shared pairs among its first ``coordinates - matches + 1``, and the bits of their coordinates."""
+    """``(key, node, weight)``: of each node the rarest shared pairs among its first ``coordinates - matches + 1``; its weight is how often all its pairs are shared."""
     key = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
     posts = nodes.select("node", F.posexplode("signature")).select("node", key.alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     own = posts.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"))  # at most one entry a coordinate
     room = F.lit(coordinates - matches + 1) - (F.lit(coordinates) - F.size("own"))
-    posted = own.where(room > 0).select("node", F.slice("own", F.lit(1), room).alias("posted"))
-    bits = F.expr("aggregate(posted, 0L, (bits, e) -> bits | shiftleft(1L, cast(shiftright(e.key, 32) as int)))")
-    return posted.select("node", bits.alias("coordinates"), F.explode("posted").alias("e")).select(F.col("e.key").alias("key"), "node", "coordinates")
+    weight = F.aggregate("own", F.lit(0).cast("long"), lambda total, e: total + e["n"])
+    posted = own.where(room > 0).select("node", weight.alias("weight"), F.explode(F.slice("own", F.lit(1), room)).alias("e"))
+    return posted.select(F.col("e.key").alias("key"), "node", "weight")
 
 
 def _values(column: pa.Array) -> np.ndarray:
@@ -152,6 +150,11 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.uint64)
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """``(node, grams)`` of at least the ``nodes(node, least_id)``, by reading their texts again; no text is shuffled."""
     import xxhash
@@ -176,9 +179,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = _unpacked(x.as_py()), _unpacked(y.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(_similar(_unpacked(x.as_py()), _unpacked(y.as_py()), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = materialize(pairs, "pairs")
@@ -190,55 +191,70 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int
     return materialize(joined.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"), "links")
 
 
-def _pivot_pairs(posts: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """``(a, b)``: the nodes of ``posts(key, node)`` with the pivot of their list; lists choose in one of so many ways."""
-    first = posts.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(pivots))).alias("h"), "node")).alias("p"))
-    met = posts.join(first.select("key", F.col("p.node").alias("b")), "key").where("node != b")
+
+
+def _pivot() -> Column:
+    return F.max(F.struct("weight", "node"))["node"]
+
+
+def _pivot_pairs(posts: DataFrame) -> DataFrame:
+    """``(a, b)``: the nodes of ``posts(key, node, weight)`` with the pivot of their list."""
+    met = posts.join(posts.groupBy("key").agg(_pivot().alias("b")), "key").where("node != b")
     return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
 def _apart(posts: DataFrame, links: DataFrame) -> DataFrame:
-    """``(key, node, coordinates, root, n)`` of the lists that hold more than one group, with their numbers of nodes."""
-    named = posts.join(connected_components(links), "node", "left").select("key", "node", "coordinates", F.coalesce("root", "node").alias("root"))
+    """``(pivot, node, root)``: the nodes of all lists that share a pivot and hold more than one group."""
+    named = posts.join(connected_components(links), "node", "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "named")
-    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    return materialize(named.join(several.select("key", "n"), "key"), "apart")
-
-
-def _across(lists: DataFrame, nodes: DataFrame, percent: int, matches: int, block: int) -> DataFrame:
-    """``(a, b)`` above the match threshold that share a list of ``lists(key, node, coordinates, root, n)`` and no root."""
+    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), _pivot().alias("pivot")).where("low < high")
+    return materialize(named.join(several.select("key", "pivot"), "key").select("pivot", "node", "root").distinct(), "apart")
+
+
+def _links_across(node: np.ndarray, root: np.ndarray, size: np.ndarray, seen: np.ndarray, sets: list[bytes], own: np.ndarray, crossed: bool, percent: int, matches: int) -> list[tuple[int, int]]:
+    """Links that join different roots among these nodes, a spanning forest at most; ``crossed``: only between the two values of ``own``."""
+    roots, counts = np.unique(root, return_counts=True)
+    rest, root, found = root != roots[counts.argmax()], root.copy(), []
+    unpacked = functools.cache(lambda i: _unpacked(sets[i]))
+    for at in np.flatnonzero(rest):  # pairs within the largest group are linked already
+        others = np.flatnonzero((~rest | (np.arange(len(node)) > at)) & (root != root[at]) & ((own != own[at]) | (not crossed)))
+        others = others[100 * np.minimum(size[others], size[at]) >= percent * np.maximum(size[others], size[at])]
+        agree = (seen[others] == seen[at]).sum(axis=1)
+        near = others[np.argsort(-agree, kind="stable")][: (agree >= matches).sum()]  # the likeliest first
+        for i in near:
+            if root[i] != root[at] and _similar(unpacked(at), unpacked(i), percent):
+                found.append((max(int(node[i]), int(node[at])), min(int(node[i]), int(node[at]))))
+                root[root == root[i]] = root[at]
+    return found
+
+
+def _across(groups: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, matches: int, block: int) -> DataFrame:
+    """``(a, b)``: links between different roots of ``groups(pivot, node, root)``, block by block."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros((0, 2), np.int64)]
-            for i in range(len(batch)):
-                members = batch.column("members")[i].values  # of both blocks
-                node, root, size, own, posted = (members.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "size", "own", "coordinates"))
-                seen, posted = _values(members.field("signature")), posted.view(np.uint64)
-                here = np.uint64(1 << (batch.column("key")[i].as_py() >> 32))
-                crossed = batch.column("low")[i].as_py() != batch.column("high")[i].as_py()
-                roots, counts = np.unique(root, return_counts=True)
-                rest = root != roots[counts.argmax()]  # pairs within the largest group are linked already
-                for at in np.flatnonzero(rest):
-                    others = np.flatnonzero((~rest | (np.arange(len(node)) > at)) & (root != root[at]) & ((own != own[at]) | (not crossed)))
-                    fit = others[100 * np.minimum(size[others], size[at]) >= percent * np.maximum(size[others], size[at])]
-                    equal = np.zeros((len(fit), 64), bool)
-                    equal[:, : seen.shape[1]] = seen[fit] == seen[at]
-                    equal = np.packbits(equal, axis=1, bitorder="little").view("<u8").ravel()
-                    both = equal & posted[fit] & posted[at]
-                    near = fit[(np.bitwise_count(equal) >= matches) & (both & (~both + np.uint64(1)) == here)]
-                    found.append(np.stack([np.maximum(node[near], node[at]), np.minimum(node[near], node[at])], axis=1))
-            a, b = np.concatenate(found).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    n = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), n).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), n - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high"), (own > other).cast("int").alias("own")))
-    held = lists.join(nodes.select("node", "size", "signature"), "node")
-    dealt = held.select("key", F.explode(meets).alias("m"), "node", "root", "size", "coordinates", "signature")
-    member = F.struct("node", "root", "size", F.col("m.own").alias("own"), "coordinates", "signature")
-    rows = dealt.groupBy("key", F.col("m.low").alias("low"), F.col("m.high").alias("high")).agg(F.collect_list(member).alias("members"))
-    return rows.where("size(members) > 1").select("key", "low", "high", "members").mapInArrow(compare, "a long, b long")
+            found: list[tuple[int, int]] = []
+            for low, high, members in zip(batch.column("low"), batch.column("high"), batch.column("members")):
+                members = members.values
+                node, root, size, own = (members.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "size", "own"))
+                found += _links_across(node, root, size, _values(members.field("signature")), members.field("grams").to_pylist(), own, low.as_py() != high.as_py(), percent, matches)
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    wanted = groups.select("node").distinct()
+    held = materialize(nodes.join(wanted, "node", "left_semi"), "held")
+    if held.isEmpty():
+        return held.selectExpr("node a", "node b")
+    sets = materialize(_full_sets(docs, held, shingle), "sets").groupBy("node").agg(F.first("grams").alias("grams"))
+    sized = groups.join(held.select("node", "size"), "node")
+    blocks = sized.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high"), (own > other).cast("int").alias("own")))
+    dealt = groups.join(blocks, "pivot").select("pivot", "node", "root", F.explode(meets).alias("m"))
+    full = dealt.join(held.join(sets, "node"), "node")
+    member = F.struct("node", "root", "size", F.col("m.own").alias("own"), "signature", "grams")
+    rows = full.groupBy("pivot", F.col("m.low").alias("low"), F.col("m.high").alias("high")).agg(F.collect_list(member).alias("members"))
+    return materialize(rows.select("low", "high", "members").mapInArrow(compare, "a long, b long").distinct(), "across")
 
 
 def _named_by_id(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -259,12 +275,8 @@ def minhash_groups(docs: DataFrame, shingle: int = 2, percent: int = 80, coordin
     # sets that differ and are this similar share percent / (100 - percent) shingles at least
     linkable = nodes.where(F.col("size") * (100 - percent) >= percent)
     posts = materialize(prefix_posts(linkable, coordinates, matches), "posts")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return _confirmed(pairs, docs, nodes, shingle, percent)
-
-    links = confirmed(_matching(_pivot_pairs(posts), nodes, percent, matches))
-    links = links.union(confirmed(_across(_apart(posts, links), nodes, percent, matches, block)))
+    links = _confirmed(_matching(_pivot_pairs(posts), nodes, percent, matches), docs, nodes, shingle, percent)
+    links = links.union(_across(_apart(posts, links), docs, nodes, shingle, percent, matches, block))
     found = rows.join(_named_by_id(nodes, links), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
