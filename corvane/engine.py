@@ -17,7 +17,9 @@ from .operators.index import Index, build_index, load_index, save_index
 from .session import prepare
 from .sources.embeddings import EmbeddingProvider, embed_missing
 from .sources.files import Ocr, extract_sections, scan_files
+from .sources.folder import with_content
 from .sources.store import Store, collection_key
+from .tables import materialize
 
 
 @dataclass(frozen=True)
@@ -67,27 +69,28 @@ class Engine:
 
         prepare(spark)
         enter("scan")
-        files = scan_files(spark, str(directory))
+        files = materialize(scan_files(spark, str(directory), content=False), "listing")
+        for refused in files.where("problem IS NOT NULL").orderBy("source").take(1):
+            raise ValueError(refused["problem"])
         store = Store(spark, str(cache)) if cache else None
         enter("extract")
         if store:
             key = collection_key(str(directory), bool(ocr), ocr_language)
-            store.put_sections(key, extract_sections(store.stale(key, files), ocr, ocr_language), files)
+            store.put_sections(key, extract_sections(with_content(store.stale(key, files), str(directory)), ocr, ocr_language), files)
             sections = store.sections(key)
         else:
-            sections = extract_sections(files, ocr, ocr_language)
+            sections = extract_sections(with_content(files, str(directory)), ocr, ocr_language)
         enter("chunk")
-        chunks = chunk_sections(sections, chunk_size, overlap)
+        chunks = materialize(chunk_sections(sections, chunk_size, overlap), "chunks")
         if make_embedder:
             if not store:
                 raise ValueError("embeddings need a cache folder")
             enter("embed")
-            chunks = chunks.join(embed_missing(store, embedding_model, chunks, make_embedder).distinct(), "text", "left")
+            chunks = materialize(chunks.join(embed_missing(store, embedding_model, chunks, make_embedder).distinct(), "text", "left"), "vectors")
         enter("index")
-        index = build_index(chunks.persist(), exact=True)
+        index = build_index(chunks, exact=True)
         if store:  # questions then plan from files, not from everything that made them
             save_index(index, f"{cache}/index/{key}")
-            chunks.unpersist()
             index = load_index(spark, f"{cache}/index/{key}")
         return cls(index, generator, neighbours, make_embedder() if make_embedder else None)
 
@@ -120,7 +123,6 @@ class Engine:
     def close(self) -> None:
         if not self.closed:
             self.closed = True
-            self.index.chunks.unpersist()
             for part in (self.generator, self.embedder):
                 if part is not None and not isinstance(part, type) and hasattr(part, "close"):
                     part.close()

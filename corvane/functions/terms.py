@@ -53,9 +53,13 @@ def canonical(term: Column) -> Column:
     return _synonym(_singular(term))
 
 
+def is_stopword(token: Column) -> Column:
+    return token.isin(*sorted(V.STOPWORDS))
+
+
 def content_of(token_array: Column) -> Column:
     """Two transforms, so that a stem is worked out once."""
-    kept = F.filter(token_array, lambda t: ~t.isin(*sorted(V.STOPWORDS)))
+    kept = F.filter(token_array, lambda t: ~is_stopword(t))
     return F.transform(F.transform(kept, _singular), _synonym)
 
 

@@ -1,4 +1,4 @@
-"""The retrieval index: postings and statistics of chunks.
+"""The retrieval index: words, postings and statistics of chunks.
 
 Chunks are rows ``(chunk_id, position, source, heading, text[, vector])``; ``position`` is dense and ordered. A posting is one term of
 one chunk: its number in the body, and whether the chunk's source or heading holds it. Terms that only metadata holds have ``tf`` 0. So a
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import content_terms, term_set
+from ..functions.terms import canonical, content_terms, is_stopword, tokens
 from ..tables import materialize
 
 K1, B = 1.2, 0.75
@@ -21,6 +21,7 @@ K1, B = 1.2, 0.75
 @dataclass(frozen=True)
 class Index:
     chunks: DataFrame
+    words: DataFrame  # chunk_id, words: the text's tokens, joined by spaces
     postings: DataFrame  # term, chunk_id, tf, in_meta, in_head, weight
     stats: DataFrame  # one row: n_chunks, average_length
 
@@ -28,17 +29,24 @@ class Index:
 META, HEAD = "\x01", "\x02"  # no term holds a control character
 
 
-def term_bags(chunks: DataFrame, exact: bool = False) -> DataFrame:
-    """``(chunk_id, term, tf, in_meta, in_head)``; one map-side aggregation for body, source and heading together. Terms of source and heading bear a
-    mark, those of the body, by far the most, are exploded as they are."""
+def chunk_words(chunks: DataFrame, exact: bool = False) -> DataFrame:
+    """``(chunk_id, words)``: the tokens of each text, joined by spaces. Nothing else reads texts."""
+    return chunks.select("chunk_id", F.array_join(tokens(F.col("text"), exact), " ").alias("words"))
+
+
+def term_bags(chunks: DataFrame, exact: bool = False, words: DataFrame | None = None) -> DataFrame:
+    """``(chunk_id, term, tf, in_meta, in_head)``; one map-side aggregation for body, source and heading together. Tokens are exploded as they are, those of
+    source and heading with a mark, and only then told apart and brought to terms: as plain columns that is compiled code, in an array's lambda it is not."""
+    body = (chunk_words(chunks, exact) if words is None else words).select("chunk_id", F.explode(F.split("words", " ")).alias("e"))
     heading = F.coalesce("heading", F.lit(""))
-    meta = F.transform(term_set(F.concat_ws(" ", "source", heading), exact), lambda t: F.concat(F.lit(META), t))
-    head = F.transform(term_set(heading, exact), lambda t: F.concat(F.lit(HEAD), t))
-    each = chunks.select("chunk_id", F.explode(F.concat(content_terms(F.col("text"), exact), meta, head)).alias("e"))
+    meta = F.transform(tokens(F.concat_ws(" ", "source", heading), exact), lambda t: F.concat(F.lit(META), t))
+    head = F.transform(tokens(heading, exact), lambda t: F.concat(F.lit(HEAD), t))
+    each = body.unionByName(chunks.select("chunk_id", F.explode(F.concat(meta, head)).alias("e")))
     marked = {mark: F.col("e").startswith(mark) for mark in (META, HEAD)}
     either = marked[META] | marked[HEAD]
-    told = each.select("chunk_id", F.when(either, F.expr("substring(e, 2)")).otherwise(F.col("e")).alias("term"), (~either).cast("int").alias("b"), marked[META].cast("int").alias("m"), marked[HEAD].cast("int").alias("h"))
-    return told.groupBy("chunk_id", "term").agg(F.sum("b").cast("int").alias("tf"), F.max("m").alias("in_meta"), F.max("h").alias("in_head"))
+    told = each.select("chunk_id", F.when(either, F.expr("substring(e, 2)")).otherwise(F.col("e")).alias("token"), (~either).cast("int").alias("b"), marked[META].cast("int").alias("m"), marked[HEAD].cast("int").alias("h"))
+    terms = told.where((F.col("token") != "") & ~is_stopword(F.col("token"))).withColumn("term", canonical(F.col("token")))
+    return terms.groupBy("chunk_id", "term").agg(F.sum("b").cast("int").alias("tf"), F.max("m").alias("in_meta"), F.max("h").alias("in_head"))
 
 
 def corpus_stats(chunks: DataFrame, exact: bool = False) -> DataFrame:
@@ -52,8 +60,9 @@ def document_frequency(bags: DataFrame) -> DataFrame:
 
 
 def build_index(chunks: DataFrame, exact: bool = False) -> Index:
-    """Weights hold everything but the question: idf and the length-normalised frequency. Texts are read once: all else comes from the stored bags."""
-    bags = materialize(term_bags(chunks, exact), "bags")
+    """Weights hold everything but the question: idf and the length-normalised frequency. Texts are read once: all else comes from their stored words."""
+    words = materialize(chunk_words(chunks, exact), "words")
+    bags = materialize(term_bags(chunks, exact, words), "bags")
     lengths = bags.groupBy("chunk_id").agg(F.sum("tf").alias("length"))
     n = chunks.agg(F.count(F.lit(1)).alias("n_chunks"))
     total = lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
@@ -62,15 +71,16 @@ def build_index(chunks: DataFrame, exact: bool = False) -> Index:
     df = F.coalesce("df", F.lit(0))
     idf = F.log(1 + (F.col("n_chunks") - df + 0.5) / (df + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average_length")))
-    return Index(chunks, rated.select("term", "chunk_id", "tf", "in_meta", "in_head", weight.alias("weight")), stats)
+    return Index(chunks, words, rated.select("term", "chunk_id", "tf", "in_meta", "in_head", weight.alias("weight")), stats)
 
 
 def save_index(index: Index, path: str) -> None:
     """Parquet tables; postings are clustered by term, so that a question's terms prune row groups."""
     index.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    index.words.write.mode("overwrite").parquet(f"{path}/words")
     index.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load_index(spark, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "stats")])
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("chunks", "words", "postings", "stats")])

@@ -1,9 +1,9 @@
 """Hybrid retrieval of question batches over an index.
 
 Questions are rows ``(question_id, question[, vector])``. A batch is joined to the postings on terms; nothing scans chunk
-texts but the exact phrase test, and that only for pairs whose inner question terms all stand in the chunk. (A
+words but the exact phrase test, and that only for pairs whose inner question terms all stand in the chunk. (A
 phrase matches as a substring of the chunk's tokens, so only its first and last token may be parts of words; questions
-without an inner content term are compared with all chunks.)
+without an inner content term are searched in all chunks, in one pass of an automaton.)
 """
 
 from __future__ import annotations
@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import content_of, rerank_terms, tokens
+from ..tables import materialize
 from .index import Index
+from .matching import substring_matches
+from .ranking import numbered
+from .vectors import PLACES, semantic_scores
 
 RRF = 60
-PLACES = 9  # sums are rounded, so that the order of summation decides no tie
 
 
 def question_terms(questions: DataFrame, exact: bool = False) -> DataFrame:
@@ -45,31 +48,9 @@ def top_k(scored: DataFrame, score: str, k: int | Column, by: str = "question_id
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """0 for a zero vector; vectors of different length are an error."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    same = F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vector dimensions differ")).cast("double"))
-    return same.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
-
-
-def semantic_scores(vectors: DataFrame, questions: DataFrame) -> DataFrame:
-    """``(question_id, chunk_id, semantic)`` of every question vector with every chunk vector ``(chunk_id, vector)``."""
-    asked = questions.where("vector IS NOT NULL").select("question_id", F.col("vector").alias("asked"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("asked_norm"))
-    held = vectors.where("vector IS NOT NULL").select("chunk_id", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("norm"))
-    norm = F.col("norm") * F.col("asked_norm")
-    same = F.when(F.size("vector") != F.size("asked"), F.raise_error(F.lit("vector dimensions differ")).cast("double"))
-    value = same.when(norm > 0, dot(F.col("vector"), F.col("asked")) / norm).otherwise(0.0)
-    return held.crossJoin(asked).select("question_id", "chunk_id", F.round(value, PLACES).alias("semantic"))
-
-
 def positive_rank(scored: DataFrame, score: str) -> DataFrame:
     """Ranks of positive scores only; ties by position."""
-    best = Window.partitionBy("question_id").orderBy(F.desc(score), "position")
-    return scored.where(F.col(score) > 0).withColumn("rank", F.row_number().over(best))
+    return numbered(scored.where(F.col(score) > 0), "question_id", [F.desc(score), F.col("position")])
 
 
 def rerank_features(index: Index, questions: DataFrame, exact: bool = False) -> DataFrame:
@@ -88,11 +69,10 @@ def rerank_features(index: Index, questions: DataFrame, exact: bool = False) ->
         F.max("n_inner").alias("n_inner"),
     )
     asked = questions.select("question_id", F.array_join(tokens(F.col("question"), exact), " ").alias("asked"), F.size(rerank_terms(F.col("question"), exact)).alias("n"), _n_inner(exact).alias("short"))
-    texts = index.chunks.select("chunk_id", F.array_join(tokens(F.col("text"), exact), " ").alias("words"))
     likely = sums.where("n_inner > 0 AND inner_body = n_inner").select("question_id", "chunk_id").join(asked.where("n > 0").select("question_id", "asked"), "question_id")
-    found = likely.join(texts, "chunk_id").where(F.contains("words", F.col("asked"))).select("question_id", "chunk_id")
-    short = asked.where("n > 0 AND short = 0 AND asked != ''").select("question_id", "asked")
-    scanned = texts.join(short, F.contains("words", F.col("asked"))).select("question_id", "chunk_id")
+    found = likely.join(index.words, "chunk_id").where(F.contains("words", F.col("asked"))).select("question_id", "chunk_id")
+    short = asked.where("n > 0 AND short = 0").select(F.col("question_id").alias("pattern_id"), F.col("asked").alias("pattern"))
+    scanned = substring_matches(index.words.toDF("text_id", "text"), short).select(F.col("pattern_id").alias("question_id"), F.col("text_id").alias("chunk_id"))
     phrases = found.unionByName(scanned).withColumn("phrase", F.lit(0.15))
     joined = sums.join(phrases, ["question_id", "chunk_id"], "full").join(asked.select("question_id", "n"), "question_id")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("scope", "head", "all_body", "own_body")}
@@ -129,27 +109,23 @@ def search(index: Index, questions: DataFrame, k: int | Column = 3, exact: bool
 
     Signals of a pair are summed in one aggregation instead of joined: each branch brings its own column.
     """
-    features = rerank_features(index, questions, exact)
+    signals = ("lexical", "rerank", "lexical_confidence", "semantic")
+    features = rerank_features(index, questions, exact).withColumn("semantic", F.lit(0.0))
     if "vector" in index.chunks.columns and "vector" in questions.columns:
         dense = semantic_scores(index.chunks.select("chunk_id", "vector"), questions)
-        none = [F.lit(0.0).alias(c) for c in ("lexical", "rerank", "lexical_confidence")]
-        features = features.withColumn("semantic", F.lit(0.0)).unionByName(dense.select("question_id", "chunk_id", *none, "semantic"))
-        features = features.groupBy("question_id", "chunk_id").agg(*[F.sum(c).alias(c) for c in ("lexical", "rerank", "lexical_confidence", "semantic")])
-    else:
-        features = features.withColumn("semantic", F.lit(0.0))
+        features = features.unionByName(dense.withColumns({c: F.lit(0.0) for c in signals[:3]}))
+        features = features.groupBy("question_id", "chunk_id").agg(*[F.sum(c).alias(c) for c in signals])
     placed = features.join(index.chunks.select("chunk_id", "position"), "chunk_id").where("lexical > 0 OR semantic > 0 OR rerank > 0")
-    by_question = Window.partitionBy("question_id")
-
-    def fused(score: str) -> Column:
-        rank = F.row_number().over(by_question.orderBy(F.desc(score), "position"))
-        return F.when(F.col(score) > 0, 1.0 / (RRF + rank)).otherwise(0.0)
-
+    placed = materialize(placed, "signals").withColumn("fused", F.lit(0.0))
+    key = ["question_id", "chunk_id", "position"]
+    for score in ("lexical", "semantic"):
+        ranked = positive_rank(placed.select(*key, score).where(F.col(score) > 0), score)
+        fused = ranked.select(*key, *[F.lit(0.0).alias(c) for c in signals], (1.0 / (RRF + F.col("rank"))).alias("fused"))
+        placed = placed.unionByName(fused)
+    summed = placed.groupBy(*key).agg(*[F.sum(c).alias(c) for c in (*signals, "fused")])
     warm = F.greatest("semantic", F.lit(0.0))
-    ranked = placed.withColumn("fused", fused("lexical") + fused("semantic"))
-    scored = ranked.select(
-        "question_id",
-        "chunk_id",
-        "position",
+    scored = summed.select(
+        *key,
         F.round(F.col("fused") + F.col("rerank") * 0.1 + warm * 0.05, PLACES).alias("score"),
         "lexical",
         "semantic",

@@ -17,6 +17,8 @@ from ..operators import chunking as C
 from ..operators import evidence as E
 from ..operators import reports as P
 from ..operators import retrieval as R
+from ..operators.matching import substring_matches
+from ..operators.vectors import nearest_chunks, semantic_scores
 from ..operators.index import build_index, corpus_stats, document_frequency, term_bags
 from ..sources import store as ST
 from ..tables import materialize
@@ -103,8 +105,8 @@ def bm25_topk(spark, sf_dir):
 SELECT question_id, rank, chunk_id, round(semantic, 6) AS semantic FROM r WHERE rank <= 10""")
 def cosine_topk(spark, sf_dir):
     held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    scored = R.semantic_scores(held, questions(spark, sf_dir, vectors=True))
-    return R.top_k(scored, "semantic", 10, tie="chunk_id").select("question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", six("semantic"))
+    best = nearest_chunks(held, questions(spark, sf_dir, vectors=True), 10)
+    return best.select("question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", six("semantic"))
 
 
 @query(f"""WITH {S.CHUNKS}, {S.FEATURES}
@@ -122,7 +124,7 @@ def rrf_fusion(spark, sf_dir):
     asked = questions(spark, sf_dir, vectors=True)
     lexical = R.bm25(build_index(chunks(spark, sf_dir)), asked).withColumn("position", F.col("chunk_id"))
     held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    semantic = R.semantic_scores(held, asked).withColumn("position", F.col("chunk_id"))
+    semantic = semantic_scores(held, asked).withColumn("position", F.col("chunk_id"))
     return R.rrf([R.positive_rank(lexical, "lexical"), R.positive_rank(semantic, "semantic")]).select("question_id", "chunk_id", six("fused"))
 
 
@@ -412,9 +414,10 @@ def document_segments(spark, sf_dir):
 @query("SELECT b.item_id, d.doc_id, d.source, instr(d.text, b.text) - 1 AS first_offset FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def evidence_validate(spark, sf_dir):
     """Which documents hold a quote word for word, and where."""
-    quotes, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("body"))
-    found = docs.join(quotes, F.contains("body", F.col("text")))
-    return found.select("item_id", "doc_id", "source", P.first_offset(F.col("body"), F.col("text")).cast("long").alias("first_offset"))
+    docs = table(spark, sf_dir, "documents")
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern"))
+    found = substring_matches(docs.select(F.struct("doc_id", "source").alias("text_id"), "text"), quotes)
+    return found.select(F.col("pattern_id").alias("item_id"), "text_id.doc_id", "text_id.source", F.col("offset").cast("long").alias("first_offset"))
 
 
 @query()

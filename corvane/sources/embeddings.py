@@ -13,9 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import materialize
 from .store import VECTORS, Store, missing, text_hash
 
-BATCH = 64
+BATCH = 64  # texts a call of the provider
+ROUND = 100_000  # texts a commit
 
 
 class EmbeddingUnavailable(RuntimeError):
@@ -66,8 +68,12 @@ def checked(vectors: list[list[float]], n: int, dimension: int | None = None) ->
     return vectors
 
 
-def embed_missing(store: Store, model: str, texts: DataFrame, make: Callable[[], EmbeddingProvider], batch: int = BATCH) -> DataFrame:
-    """``texts(text)`` to ``(text, vector)``; distinct texts that the store lacks are embedded in tasks and stored first."""
+def embed_missing(store: Store, model: str, texts: DataFrame, make: Callable[[], EmbeddingProvider], batch: int = BATCH, round_size: int = ROUND) -> DataFrame:
+    """``texts(text)`` to ``(text, vector)``; distinct texts that the store lacks are embedded in tasks and stored first.
+
+    They are written once, and then embedded in rounds of about ``round_size``, each a commit. A batch that fails does not lose the others of its round:
+    they are stored, then the error is raised. So a later call goes on from what is stored, and no stored text is embedded again.
+    """
     wanted = texts.select("text").withColumn("text_hash", text_hash(model, F.col("text")))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,15 +81,29 @@ def embed_missing(store: Store, model: str, texts: DataFrame, make: Callable[[],
         try:
             for frame in frames:
                 for at in range(0, len(frame), batch):
-                    provider = provider or make()
-                    part = frame.iloc[at : at + batch]
-                    found = checked(provider.embed_documents(part["text"].tolist()), len(part))
-                    yield pd.DataFrame({"text_hash": part["text_hash"].tolist(), "vector": found})
+                    part, error = frame.iloc[at : at + batch], None
+                    try:
+                        provider = provider or make()
+                        found = checked(provider.embed_documents(part["text"].tolist()), len(part))
+                    except Exception as e:  # told to the driver once the round is stored
+                        found, error = [None] * len(part), f"{type(e).__name__}: {e}"
+                    yield pd.DataFrame({"text_hash": part["text_hash"].tolist(), "vector": found, "error": error})
         finally:
             if provider:
                 provider.close()
 
-    store.put_vectors(model, missing(wanted, store.vectors(model)).select("text_hash", "text").mapInPandas(work, VECTORS))
+    pending = materialize(missing(wanted, store.vectors(model)).select("text_hash", "text"), "pending")
+    n = pending.count()
+    rounds = -(-n // round_size)
+    spread = max(1, min(texts.sparkSession.sparkContext.defaultParallelism, -(-n // (batch * max(1, rounds)))))
+    for i in range(rounds):
+        some = pending.where(F.pmod(F.xxhash64("text_hash"), F.lit(rounds)) == i).repartition(spread, "text_hash")
+        done = materialize(some.mapInPandas(work, f"{VECTORS}, error string"), "embedded")
+        store.put_vectors(model, done.where("error IS NULL"))
+        failed = done.where("error IS NOT NULL").select("error").first()
+        if failed:
+            kind, _, told = failed["error"].partition(": ")
+            raise (ValueError if kind == "ValueError" else RuntimeError)(told)
     return wanted.join(store.vectors(model), "text_hash").select("text", "vector")
 
 

@@ -1,7 +1,8 @@
 """Document files: scan, validation, text extraction and managed import.
 
-``binaryFile`` scans; the checks and the extractors of the zipped formats work on contents in Arrow batches, one file a row. PDF needs
-``pypdf`` and, for page images, an OCR function; without them a PDF is refused with a clear message.
+Local and mounted folders are read by a data source of their own (``folder``), other file systems and streams by ``binaryFile``; the checks and the
+extractors of the zipped formats work on contents, one file a row. PDF needs ``pypdf`` and, for page images, an OCR function; without them a PDF is refused
+with a clear message.
 """
 
 from __future__ import annotations
@@ -35,15 +36,20 @@ def suffix_of(name: str) -> str:
     return os.path.splitext(name)[1].lower()
 
 
+def problem_of_size(name: str, size: int) -> str | None:
+    """Why a file is refused unread, or None."""
+    if suffix_of(name) not in SUFFIXES:
+        return f"unsupported file type: {name}"
+    if not size:
+        return f"empty file: {name}"
+    return f"file too large: {name}" if size > MAX_FILE else None
+
+
 def problem(name: str, content: bytes) -> str | None:
     """Why a file is refused, or None."""
     suffix = suffix_of(name)
-    if suffix not in SUFFIXES:
-        return f"unsupported file type: {name}"
-    if not content:
-        return f"empty file: {name}"
-    if len(content) > MAX_FILE:
-        return f"file too large: {name}"
+    if why := problem_of_size(name, len(content)):
+        return why
     if suffix in (".txt", ".md"):
         try:
             content.decode("utf-8")
@@ -125,17 +131,22 @@ Ocr = Callable[[bytes, int, str], str]
 
 
 def pdf_pages(content: bytes, ocr: Ocr | None = None, language: str = "eng") -> list[Section]:
-    """Pages from 1; ``ocr(content, page, language)`` reads pages of fewer than ten word characters."""
+    """Pages from 1; ``ocr(content, page, language)``, pages from 0 there, reads those of fewer than ten word characters."""
     try:
         from pypdf import PdfReader
     except ImportError as e:
         raise RuntimeError("PDF files need the pypdf package") from e
     pages = []
-    for i, page in enumerate(PdfReader(io.BytesIO(content)).pages):
-        text = (page.extract_text() or "").strip()
-        if ocr and len(re.findall(r"\w", text)) < 10:
-            text = ocr(content, i, language).strip() or text
-        pages.append((text, i + 1))
+    try:
+        for i, page in enumerate(PdfReader(io.BytesIO(content)).pages):
+            text = (page.extract_text() or "").strip()
+            if ocr and len(re.findall(r"\w", text)) < 10:
+                text = ocr(content, i, language).strip()
+            pages.append((text, i + 1))
+    except (RuntimeError, ValueError):
+        raise
+    except Exception as e:
+        raise ValueError(f"cannot read a PDF: {e}") from e
     return pages
 
 
@@ -160,11 +171,27 @@ def extract_text(name: str, content: bytes, ocr: Ocr | None = None, language: st
 # ---- Spark
 
 
-def scan_files(spark: SparkSession, root: str, streaming: bool = False) -> DataFrame:
-    """``(source, sha256, size, mtime, content)`` of accepted files below ``root``; ``source`` is relative to it.
+def is_mounted(root: str) -> bool:
+    """Whether tasks can open paths below it; file systems that only Spark reads have another scheme."""
+    return re.match(r"file:|(?![A-Za-z][A-Za-z0-9+.-]*:)", root) is not None
 
-    Names that begin with a dot or an underscore are hidden from Spark's sources.
+
+def local_path(root: str) -> str:
+    return os.path.abspath(re.sub("^file:/+", "/", root))
+
+
+def scan_files(spark: SparkSession, root: str, streaming: bool = False, content: bool = True) -> DataFrame:
+    """``(source, sha256, size, mtime, problem[, content])`` of files of an accepted type below ``root``; ``source`` is relative to it.
+
+    Streams, and file systems that are not mounted, are read by Spark's own source: there, names that begin with a dot or an underscore are hidden and
+    ``problem`` is null until the content is checked.
     """
+    if not streaming and is_mounted(root):
+        from .folder import scan_folder
+
+        if not os.path.isdir(local_path(root)):
+            raise FileNotFoundError(root)
+        return scan_folder(spark, local_path(root), content)
     if streaming:
         files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     else:
@@ -177,7 +204,7 @@ def scan_files(spark: SparkSession, root: str, streaming: bool = False) -> DataF
     accepted = loaded.where(F.lower("path").rlike("(" + "|".join(map(re.escape, SUFFIXES)) + ")$"))
     base = re.sub(r"^[a-z]+:/+", "/", root.rstrip("/") + "/")
     source = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + re.escape(base), "")
-    return accepted.select(source.alias("source"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+    return accepted.select(source.alias("source"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lit(None).cast("string").alias("problem"), *(["content"] if content else []))
 
 
 def extract_sections(files: DataFrame, ocr: Ocr | None = None, language: str = "eng", strict: bool = True) -> DataFrame:
@@ -187,8 +214,8 @@ def extract_sections(files: DataFrame, ocr: Ocr | None = None, language: str = "
         for frame in frames:
             rows = []
             for f in frame.itertuples(index=False):
-                content = bytes(f.content)
-                if why := problem(f.source, content):
+                content = bytes(f.content or b"")
+                if why := f.problem or problem(f.source, content):
                     if strict:
                         raise ValueError(why)
                     continue
@@ -196,7 +223,7 @@ def extract_sections(files: DataFrame, ocr: Ocr | None = None, language: str = "
             found = pd.DataFrame(rows, columns=["source", "sha256", "section", "page", "text"])
             yield found.astype({"page": "Int32"})
 
-    return files.select("source", "sha256", "content").mapInPandas(work, "source string, sha256 string, section int, page int, text string")
+    return files.select("source", "sha256", "problem", "content").mapInPandas(work, "source string, sha256 string, section int, page int, text string")
 
 
 def refused_files(files: DataFrame) -> DataFrame:
@@ -204,10 +231,10 @@ def refused_files(files: DataFrame) -> DataFrame:
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            told = [problem(s, bytes(c)) for s, c in zip(frame["source"], frame["content"])]
+            told = [why or problem(s, bytes(c)) for s, why, c in zip(frame["source"], frame["problem"], frame["content"])]
             yield pd.DataFrame({"source": frame["source"], "problem": told}).dropna()
 
-    return files.select("source", "content").mapInPandas(work, "source string, problem string")
+    return files.select("source", "problem", "content").mapInPandas(work, "source string, problem string")
 
 
 def import_documents(paths: list[str | Path], destination: str | Path) -> tuple[list[Path], list[str]]:
@@ -215,7 +242,7 @@ def import_documents(paths: list[str | Path], destination: str | Path) -> tuple[
     target, copied, skipped = Path(destination), [], []
     target.mkdir(parents=True, exist_ok=True)
     for path in map(Path, paths):
-        if path.is_symlink() or not path.is_file() or problem(path.name, path.read_bytes()):
+        if path.is_symlink() or not path.is_file() or problem_of_size(path.name, path.stat().st_size) or problem(path.name, path.read_bytes()):
             skipped.append(path.name)
             continue
         place, n = target / path.name, 2

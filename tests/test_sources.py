@@ -110,7 +110,6 @@ def test_sections_are_extracted_once_and_pruned(spark, folder, tmp_path):
     assert [r.source for r in store.stale(key, files).collect()] == ["ice.TXT"]
     store.put_sections(key, S.extract_sections(store.stale(key, files)), files)
     assert {r.source for r in store.sections(key).collect()} == {"ice.TXT", "sub/plan é.docx"}
-    store._put_meta({})
     fs, path = store._path("meta.json")
     out = fs.create(path, True)
     out.write(bytearray(b'{"version": 9}'))
