@@ -139,7 +139,7 @@ def _marked(nodes: DataFrame) -> np.ndarray:
     return bits
 
 
-def _packed(grams: np.ndarray) -> bytes:
+def packed(grams: np.ndarray) -> bytes:
     """The upper 40 bits of sorted 64-bit hashes: within two sets they are as good as distinct."""
     return (grams >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
 
@@ -166,7 +166,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
             at = batch.column("at").to_numpy(zero_copy_only=False)
             wanted = batch.column("text").filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             sets = [shingle_set(t.as_py() or "", shingle) for t in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([_signed(xxhash.xxh3_64_intdigest(g.tobytes())) for g in sets], pa.int64()), pa.array([*map(_packed, sets)], pa.binary())], ["node", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([_signed(xxhash.xxh3_64_intdigest(g.tobytes())) for g in sets], pa.int64()), pa.array([*map(packed, sets)], pa.binary())], ["node", "grams"])
 
     at = F.when(F.col("doc_id").isNull(), F.lit(BITS)).otherwise(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS)))
     return docs.select("text", at.cast("long").alias("at")).mapInArrow(scan, "node long, grams binary")
@@ -228,8 +228,9 @@ def _links_across(node: np.ndarray, root: np.ndarray, size: np.ndarray, seen: np
     return found
 
 
-def _across(groups: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, matches: int, block: int) -> DataFrame:
-    """``(a, b)``: links between different roots of ``groups(pivot, node, root)``, block by block."""
+def links_in_blocks(groups: DataFrame, full: DataFrame, percent: int, matches: int, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``: links between different roots of ``groups(pivot, node, root)``, confirmed on ``full(node, size, signature, grams)``. A group is dealt to
+    blocks of bounded size, and any two meet in one row, which gives a spanning forest of its links at most."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,22 +242,24 @@ def _across(groups: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    wanted = groups.select("node").distinct()
-    held = materialize(nodes.join(wanted, "node", "left_semi"), "held")
-    if held.isEmpty():
-        return held.selectExpr("node a", "node b")
-    sets = materialize(_full_sets(docs, held, shingle), "sets").groupBy("node").agg(F.first("grams").alias("grams"))
-    sized = groups.join(held.select("node", "size"), "node")
+    sized = groups.join(full.select("node", "size"), "node")
     blocks = sized.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
     own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high"), (own > other).cast("int").alias("own")))
     dealt = groups.join(blocks, "pivot").select("pivot", "node", "root", F.explode(meets).alias("m"))
-    full = dealt.join(held.join(sets, "node"), "node")
     member = F.struct("node", "root", "size", F.col("m.own").alias("own"), "signature", "grams")
-    rows = full.groupBy("pivot", F.col("m.low").alias("low"), F.col("m.high").alias("high")).agg(F.collect_list(member).alias("members"))
+    rows = dealt.join(full, "node").groupBy("pivot", F.col("m.low").alias("low"), F.col("m.high").alias("high")).agg(F.collect_list(member).alias("members"))
     return materialize(rows.select("low", "high", "members").mapInArrow(compare, "a long, b long").distinct(), "across")
 
 
+def _across(groups: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, matches: int, block: int) -> DataFrame:
+    held = materialize(nodes.join(groups.select("node").distinct(), "node", "left_semi"), "held")
+    if held.isEmpty():
+        return held.selectExpr("node a", "node b")
+    sets = materialize(_full_sets(docs, held, shingle), "sets").groupBy("node").agg(F.first("grams").alias("grams"))
+    return links_in_blocks(groups, held.select("node", "size", "signature").join(sets, "node"), percent, matches, block)
+
+
 def _named_by_id(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(node, component_id)``: the smallest id of a node's component."""
     roots = connected_components(links)

@@ -16,7 +16,7 @@
 6. Connected components by star contraction; a component is named by its smallest ``doc_id``.
 
 ``similar_groups`` links texts by the Jaccard similarity of their word shingles, without fingerprints: a prefix-filtered set join that finds
-every pair, whatever the distance of their fingerprints.
+the pairs whatever the distance of their fingerprints.
 
 Defined results: null and word-free texts have fingerprint zero, linked like any other; rows with a null ``doc_id`` are
 reported, and a component of null ids only has a null ``component_id``; very long texts are read whole; a bit set in exactly half the
@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .minhash import links_in_blocks, match_threshold, packed, signature
 from .storage import materialize, read_table
 
 BITS = 64
 GROUP = 256
 PARTS = range(1, 7)
 KEY_COST = 300  # of writing a key, in pairs compared
+MISS = 1e-12  # probability that signatures pass over a similar pair
 SAMPLE_ROWS, FREQUENT = 50_000, 500_000  # rows looked at for frequent shingles, and how many shingles are kept
 
 
@@ -291,8 +293,8 @@ def frequent_shingles(docs: DataFrame, shingle: int, rows: int = SAMPLE_ROWS) ->
             grams, n = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
 
-    share = math.ceil(1000 * rows / max(docs.count(), 1))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < share)
+    parts = 1 << 40
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < math.ceil(parts * rows / max(docs.count(), 1)))
     counted = sample.select("text").mapInArrow(scan, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2")
     found = counted.orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
     grams, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
@@ -351,14 +353,6 @@ def _likely_stars(shared: DataFrame, similarity: float) -> DataFrame:
     return counted.where(F.col("can") & (F.col("n") >= _least_shared(similarity))).select("a", "b").distinct()
 
 
-def _likely_pairs(shared: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)`` of those ``pairs(a, a_size, b, b_size)`` that share enough keys. A document's list holds its own shared keys only."""
-    lists = materialize(shared.groupBy("id", "size").agg(F.collect_list("key").alias("keys")), "lists")
-    a, b = lists.toDF("a", "a_size", "a_keys"), lists.toDF("b", "b_size", "b_keys")
-    both = pairs.join(a, ["a", "a_size"]).join(b, ["b", "b_size"])
-    return both.where(F.size(F.array_intersect("a_keys", "b_keys")) >= _least_shared(similarity)).select("a", "b").distinct()
-
-
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,30 +382,42 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float
     return materialize(_similar(pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b"), similarity).distinct(), "verified")
 
 
+def _sketched_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """``(node, size, signature, grams)`` of the documents ``ids(node)``."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py() or "", shingle) for t in batch.column("text")]
+            signatures = [signature(g).view(np.int32).tolist() for g in sets]
+            columns = [batch.column("doc_id"), pa.array([*map(len, sets)], pa.int64()), pa.array(signatures, pa.list_(pa.int32())), pa.array([*map(packed, sets)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "signature", "grams"])
+
+    wanted = docs.join(ids, docs["doc_id"] == ids["node"], "left_semi").select("doc_id", "text")
+    return materialize(wanted.mapInArrow(scan, "node long, size long, signature array<int>, grams binary"), "sketched")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(node, root)`` of ids: every document linked to a smaller one, with the smallest of its group.
 
-    Links are all pairs of documents whose sets of word shingles have at least this Jaccard similarity; none is missed. Sets so similar share
+    Links are pairs of documents whose sets of word shingles have at least this Jaccard similarity (in whole per cent). Sets so similar share
     a shingle of their prefixes, and at the first one both have as many left as they must share. A document is first compared to the smallest ids of
-    its keys where their shared keys make it likely; then every two that share a key, can meet there and are not yet in one group are compared, which
-    leaves out no pair that could change a group. Rows with a null ``doc_id`` are never linked; an id's rows are one document, linked where any of its
-    texts is.
+    its keys where their shared keys make it likely. The keys that hold more than one group by then are gathered by their pivot, the document that shares most
+    keys; what they hold is compared block by block, whole sets against whole sets, but for pairs whose MinHash signatures agree too rarely, which passes
+    over a similar pair with a probability below ``MISS``. So no pair that could change a group is left out, and no key's pairs are written out. Rows with a
+    null ``doc_id`` are never linked; an id's rows are one document, linked where any of its texts is.
     """
-    docs = docs.where("doc_id IS NOT NULL").selectExpr("cast(doc_id as long) doc_id", "text")
+    docs, percent = docs.where("doc_id IS NOT NULL").selectExpr("cast(doc_id as long) doc_id", "text"), round(100 * similarity)
     keys = materialize(_prefixes(docs, shingle, similarity), "keys")
     shared = materialize(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key"), "shared")
-    stars = materialize(_likely_stars(shared, similarity), "stars")
-    links = _verified(docs, stars, shingle, similarity)
-    roots = connected_components(links)
-    named = shared.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "at", "size", F.coalesce("root", "id").alias("root"))
-    named = materialize(named, "named")
-    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    apart = materialize(named.join(apart, "key", "left_semi"), "apart")
-    a, b = apart.toDF("key", "a", "a_at", "a_size", "a_root"), apart.toDF("key", "b", "b_at", "b_size", "b_root")
-    meet = a.join(b, "key").where("a > b AND a_root != b_root").where(_can_meet(similarity))
-    pairs = materialize(meet.select("a", "a_size", "b", "b_size").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    others = materialize(_likely_pairs(shared, pairs, similarity), "others")
-    return connected_components(links.union(_verified(docs, others, shingle, similarity)))
+    links = _verified(docs, materialize(_likely_stars(shared, similarity), "stars"), shingle, similarity)
+    weights = shared.groupBy("id").agg(F.count(F.lit(1)).alias("weight"))
+    named = shared.join(connected_components(links), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    named = materialize(named.join(weights, "id"), "named")
+    pivot = F.max(F.struct("weight", "id"))["id"].alias("pivot")
+    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), pivot).where("low < high")
+    groups = materialize(named.join(several.select("key", "pivot"), "key").select("pivot", F.col("id").alias("node"), "root").distinct(), "apart")
+    full = _sketched_sets(docs, groups.select("node").distinct(), shingle)
+    return connected_components(links.union(links_in_blocks(groups, full, percent, match_threshold(percent, miss=MISS))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

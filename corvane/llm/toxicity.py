@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize, read_table
@@ -220,7 +220,8 @@ class Restorer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``(text, toxic)`` of at most ``rows`` labelled rows that are not held out, less copies."""
+    """``(text, toxic)`` of at most ``rows`` labelled rows that are not held out, less likely copies: of texts of one label and one least shingle the one whose
+    id has the smallest hash stays, whatever the order of rows. Texts of fewer than three words are copies only of equal ones."""
     usable = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL AND crc32(cast(doc_id as string)) % 3 != 1").selectExpr("doc_id sample_id", "toxic")
     chosen = usable.orderBy(F.xxhash64("sample_id"), "sample_id").limit(rows)
     found = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("sample_id"))
@@ -230,10 +231,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
             least = []
             for text in batch.column("text"):
                 words = (text.as_py() or "").lower().split()
-                least.append(min((xxhash.xxh64_intdigest(" ".join(s)) for s in zip(words, words[1:], words[2:])), default=0) >> 1)
-            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(least, pa.int64())], ["text", "toxic", "sketch"])
+                grams = [" ".join(g) for g in zip(words, words[1:], words[2:])] or [" ".join(words)]
+                least.append(min(map(xxhash.xxh64_intdigest, grams)) >> 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("toxic"), pa.array(least, pa.int64())], ["doc_id", "text", "toxic", "sketch"])
 
-    return found.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(sketch, "text string, toxic int, sketch long").dropDuplicates(["sketch"]).select("text", "toxic")
+    told = found.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(sketch, "doc_id long, text string, toxic int, sketch long")
+    first = Window.partitionBy("sketch", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    return told.withColumn("turn", F.row_number().over(first)).where("turn = 1").select("text", "toxic")
 
 
 def _wilson(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -367,7 +371,7 @@ def _fit(marks: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``(doc_id, held_out, score, predicted, n_clues)``: one row a row of ``docs``."""
+    """``(doc_id, held_out, score, predicted, n_clues, text_hash)``: one row a row of ``docs``; the hash is of the text, null as empty."""
     counts = count_characters(docs)
     prefixes, clues, weights = learn_clues(materialize(labelled_sample(docs, labels, sample_rows), "sample"), counts)
     at = _by_prefix(clues)
@@ -381,11 +385,11 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 logits.append(weights[0] + weights[1:][fired].sum())
                 n_clues.append(len(fired))
             p = 1 / (1 + np.exp(-np.array(logits)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array(n_clues, pa.int64())], ["doc_id", "score", "n_clues"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array(n_clues, pa.int64()), batch.column("text_hash")], ["doc_id", "score", "n_clues", "text_hash"])
 
-    scored = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(scan, "doc_id long, score double, n_clues long")
+    scored = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(coalesce(text, '')) text_hash").mapInArrow(scan, "doc_id long, score double, n_clues long, text_hash long")
     held_out = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_clues")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_clues", "text_hash")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

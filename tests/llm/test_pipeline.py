@@ -10,8 +10,8 @@ from corvane.llm import queries
 from .conftest import ROWS, frame
 
 
-def test_registry_covers_the_ten():
-    assert sorted({int(re.match(r"op(\d+)_", n).group(1)) for n in queries.QUERIES}) == list(range(1, 11))
+def test_registry_covers_all():
+    assert sorted({int(re.match(r"op(\d+)_", n).group(1)) for n in queries.QUERIES}) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
@@ -68,3 +68,41 @@ def test_run_leaves_only_the_stages_tables(spark, sf_dir, tmp_path, monkeypatch)
     monkeypatch.setattr(tables, "scratch_root", lambda spark: f"file://{tmp_path}")
     packed = corpus_pipeline.run(spark, sf_dir)
     assert packed.count() and sorted(p.name for p in tmp_path.glob("*/*")) == sorted(name for name, _ in corpus_pipeline.STAGES)
+
+
+def test_toxic_rows_go_by_id_and_text(spark, sf_dir):
+    rows = [(1001, "aeiou lnrst eilno"), (1001, "gruk gruk gruk"), (None, "you gruk gruk"), (None, "aeiou eilno lnrst"), (None, None)]
+    stored = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    left = corpus_pipeline.drop_toxic(spark, stored.unionByName(frame(spark, rows)), sf_dir).where("doc_id = 1001 OR doc_id IS NULL")
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+
+
+def test_scores_do_not_depend_on_the_order_of_rows(spark, sf_dir):
+    from corvane.llm import toxicity
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = lambda d: {(r.doc_id, r.text_hash): r.score for r in toxicity.score(d, labels).collect()}
+    assert scored(docs) == scored(docs.orderBy("text").repartition(7))
+
+
+def test_near_copies_around_a_hot_passage(spark):
+    """Texts that are mostly one passage share keys and are not similar; copies among them are still found."""
+    from corvane.llm import simhash
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(60):
+        text = passage + [word() for _ in range(rng.randint(14, 40))]
+        rows.append((2 * i, " ".join(text)))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, " ".join([*text[:-1], word()])))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if r == old else r for k, r in root.items()}
+    assert {r.node: r.root for r in simhash.similar_groups(frame(spark, rows)).collect()} == {i: r for i, r in root.items() if i != r}
