@@ -34,8 +34,15 @@ def compact(x: str) -> str:
     return strip(rf"regexp_replace({x}, '\s+', ' ', 'g')")
 
 
+def _boundaries(pattern: str) -> str:
+    """Word boundaries that know letters beyond ASCII, as Java's and Python's do and RE2's do not: at the start of a pattern or behind a word."""
+    word = r"[^\p{L}\p{N}_]"
+    lead = pattern.startswith(r"\b")
+    return (f"(?:^|{word})" if lead else "") + pattern[2 * lead :].replace(r"\b", f"(?:$|{word})")
+
+
 def matches(x: str, pattern: str, flags: str = "i") -> str:
-    return f"regexp_matches({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{flags}')"
+    return f"regexp_matches({x}, '{_boundaries(pattern).replace(chr(39), chr(39) * 2)}', '{flags}')"
 
 
 def attribute(x: str) -> str:
@@ -124,3 +131,6 @@ HYBRID = """sem AS (
 ), results AS (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, position) AS rank FROM totals
 )"""
+
+# the same without vectors
+LEXICAL = "sem AS (SELECT 0 AS question_id, 0 AS chunk_id, 0.0 AS semantic WHERE false), signals AS" + HYBRID.partition("), signals AS")[2]
