@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,8 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions.terms import infer_heading, stripped
 from ..tables import materialize
 
+# Fixed value: where lines end.
+LINE_BREAK = r"\R|[\x0b\x0c\x1c-\x1e\x85  ]"
 # Where to cut, coarsest first; the last cuts anywhere.
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", "")
 
@@ -24,17 +27,30 @@ def _upper_quartile(sorted_lengths: Column) -> Column:
     return F.get(sorted_lengths, F.floor((F.size(sorted_lengths) - 1) * 0.75).cast("int"))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def chunk_limits(text: Column) -> Column:
     """``struct<size, overlap>``: three typical paragraphs or twelve times the root of the length, no more than the text."""
-    paragraphs, lines = _lengths(F.split(text, "\n\n")), _lengths(F.split(text, r"\R|[\x0b\x0c\x1c-\x1e\x85  ]"))
-    whole = F.greatest(F.lit(1), F.length(text))
-    typical = F.greatest(F.lit(80), F.least(_upper_quartile(paragraphs), _upper_quartile(lines) * 4))
-    scale = F.greatest(F.lit(1), F.bround(F.sqrt(whole)).cast("int"))
-    plain = F.least(F.greatest(typical * 3, scale * 12), whole)
-    size = F.when(F.contains(text, F.lit("\nAnswer: ")), F.least(whole, F.greatest(plain, F.array_max(paragraphs)))).otherwise(plain)
-    overlap = F.when(size > 1, F.least(size - 1, F.bround(size * 0.15).cast("int"))).otherwise(0)
-    blank = F.struct(whole.cast("int").alias("size"), F.lit(0).alias("overlap"))
-    return F.when(F.size(paragraphs) == 0, blank).otherwise(F.struct(size.cast("int").alias("size"), overlap.cast("int").alias("overlap")))
+    lengths = F.struct(_lengths(F.split(text, "\n\n")).alias("paragraphs"), _lengths(F.split(text, LINE_BREAK)).alias("lines"), F.greatest(F.lit(1), F.length(text)).alias("whole"))
+
+    def size_of(told: Column) -> Column:
+        paragraphs, whole = told["paragraphs"], told["whole"]
+        typical = F.greatest(F.lit(80), F.least(_upper_quartile(paragraphs), _upper_quartile(told["lines"]) * 4))
+        scale = F.greatest(F.lit(1), F.bround(F.sqrt(whole)).cast("int"))
+        plain = F.least(F.greatest(typical * 3, scale * 12), whole)
+        size = F.when(F.contains(text, F.lit("\nAnswer: ")), F.least(whole, F.greatest(plain, F.array_max(paragraphs)))).otherwise(plain)
+        blank = F.size(paragraphs) == 0
+        return F.struct(F.when(blank, whole).otherwise(size).cast("int").alias("size"), blank.alias("blank"))
+
+    def with_overlap(told: Column) -> Column:
+        size = told["size"]
+        overlap = F.when(told["blank"] | (size <= 1), 0).otherwise(F.least(size - 1, F.bround(size * 0.15).cast("int")))
+        return F.struct(size.alias("size"), overlap.alias("overlap"))
+
+    return _once(_once(lengths, size_of), with_overlap)
 
 
 def windows(text: Column, size: Column, overlap: Column) -> Column:
@@ -131,7 +147,7 @@ def chunk_sections(sections: DataFrame, size: int | None = None, overlap: int |
     if overlap is not None and (overlap < 0 or (size is not None and size <= overlap)):
         raise ValueError("overlap must be from 0 to below the chunk size")
     limits = chunk_limits(F.col("text"))
-    told = sections.where(stripped(F.col("text")) != "").withColumns({"size": F.lit(size) if size else limits["size"], "overlap": F.lit(overlap) if overlap is not None else limits["overlap"]})
+    told = sections.where(stripped(F.col("text")) != "").withColumn("limits", limits).withColumns({"size": F.lit(size) if size else F.col("limits.size"), "overlap": F.lit(overlap) if overlap is not None else F.col("limits.overlap")})
     fits = F.when(F.col("size") > F.col("overlap"), F.col("size")).otherwise(F.raise_error(F.lit("chunk size must exceed the overlap")).cast("int"))
     cut = told.select("source", "section", "page", infer_heading(F.col("text")).alias("heading"), _split("text", fits, "overlap").alias("pieces"))
     pieces = materialize(cut, "pieces")
