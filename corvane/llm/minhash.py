@@ -10,8 +10,8 @@
    comparing the two signatures.
 5. Each list is first merged against its pivot, the node whose pairs are shared most often, which is the middle of a group of copies. Survivors of the
    match threshold are confirmed on the full sets and give groups. A list whose nodes are by then in one group needs nothing more. The others are
-   gathered by their pivot, so that the many lists of one group count once; their nodes, with signatures and full sets, are dealt to blocks,
-   any two blocks meet in one row, and pairs of different groups above the threshold are confirmed there. So no link that joins two groups is left
+   gathered by their pivot, so that the many lists of one group count once; their nodes are dealt to blocks, any two blocks meet in one row, and
+   signatures tell which nodes have a partner in another group above the threshold. Only those meet again with their full sets, to be confirmed. So no link that joins two groups is left
    out, and no list's pairs are ever written out. Confirming reads texts again, which a bitmap of fixed size picks, so that no text is shuffled.
 6. Connected components; a component is named by its smallest ``doc_id``.
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from .storage import materialize, read_table
 
 COORDINATES = 64
 MISS = 1e-7
-BLOCK, BLOCK_SHINGLES = 512, 500_000  # nodes compared at once, and the shingles they have
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000  # nodes compared at once, and the shingles they have
 SLICE = 1024  # shingles hashed at once
 BITS, WORD = 1 << 24, 1 << 15  # of the bitmap that tells which texts are read again: 2 MB whatever the input; of a row of Spark's bitmaps
 
@@ -204,60 +204,86 @@ def _pivot_pairs(posts: DataFrame) -> DataFrame:
 
 
 def _apart(posts: DataFrame, links: DataFrame) -> DataFrame:
-    """``(pivot, node, root)``: the nodes of all lists that share a pivot and hold more than one group."""
+    """``(pivot, node, root)``: the nodes of all lists that share a pivot and hold more than one group besides it, with which all have been compared."""
     named = posts.join(connected_components(links), "node", "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "named")
-    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), _pivot().alias("pivot")).where("low < high")
-    return materialize(named.join(several.select("key", "pivot"), "key").select("pivot", "node", "root").distinct(), "apart")
+    others = named.join(named.groupBy("key").agg(_pivot().alias("pivot")), "key").where("node != pivot")
+    several = others.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return materialize(others.join(several, "key").select("pivot", "node", "root").distinct(), "apart")
 
 
-def _links_across(node: np.ndarray, root: np.ndarray, size: np.ndarray, seen: np.ndarray, sets: list[bytes], own: np.ndarray, crossed: bool, percent: int, matches: int) -> list[tuple[int, int]]:
-    """Links that join different roots among these nodes, a spanning forest at most; ``crossed``: only between the two values of ``own``."""
+def _near(root: np.ndarray, size: np.ndarray, seen: np.ndarray, own: np.ndarray, crossed: bool, percent: int, matches: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each node outside the largest group, with the nodes of other roots whose signatures agree often enough, the likeliest first. ``root`` may change on the
+    way. ``crossed``: only between the two values of ``own``."""
     roots, counts = np.unique(root, return_counts=True)
-    rest, root, found = root != roots[counts.argmax()], root.copy(), []
-    unpacked = functools.cache(lambda i: _unpacked(sets[i]))
-    for at in np.flatnonzero(rest):  # pairs within the largest group are linked already
-        others = np.flatnonzero((~rest | (np.arange(len(node)) > at)) & (root != root[at]) & ((own != own[at]) | (not crossed)))
+    rest, places = root != roots[counts.argmax()], np.arange(len(root))  # pairs within the largest group are linked already
+    for at in np.flatnonzero(rest):
+        others = np.flatnonzero((~rest | (places > at)) & (root != root[at]) & ((own != own[at]) | (not crossed)))
         others = others[100 * np.minimum(size[others], size[at]) >= percent * np.maximum(size[others], size[at])]
         agree = (seen[others] == seen[at]).sum(axis=1)
-        near = others[np.argsort(-agree, kind="stable")][: (agree >= matches).sum()]  # the likeliest first
-        for i in near:
-            if root[i] != root[at] and _similar(unpacked(at), unpacked(i), percent):
-                found.append((max(int(node[i]), int(node[at])), min(int(node[i]), int(node[at]))))
-                root[root == root[i]] = root[at]
-    return found
+        if n := int((agree >= matches).sum()):
+            yield at, others[np.argsort(-agree, kind="stable")][:n]
 
 
-def links_in_blocks(groups: DataFrame, full: DataFrame, percent: int, matches: int, block: int = BLOCK) -> DataFrame:
-    """``(a, b)``: links between different roots of ``groups(pivot, node, root)``, confirmed on ``full(node, size, signature, grams)``. A group is dealt to
-    blocks of bounded size, and any two meet in one row, which gives a spanning forest of its links at most."""
+def _blocks(groups: DataFrame, held: DataFrame, block: int) -> DataFrame:
+    """``(pivot, low, high, members)``: the nodes of each group dealt to blocks of bounded size, a row for any two; ``held`` has what a member carries."""
+    sized = groups.join(held.select("node", "size"), "node")
+    blocks = sized.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high"), (own > other).cast("int").alias("own")))
+    dealt = groups.join(blocks, "pivot").select("pivot", "node", "root", F.explode(meets).alias("m"))
+    member = F.struct("root", F.col("m.own").alias("own"), *held.columns)
+    rows = dealt.join(held, "node").groupBy("pivot", F.col("m.low").alias("low"), F.col("m.high").alias("high")).agg(F.collect_list(member).alias("members"))
+    return rows.where("size(members) > 1")
+
+
+def _members(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for i in range(len(batch)):
+        members = batch.column("members")[i].values
+        node, root, size, own = (members.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "size", "own"))
+        yield i, members, node, (root.copy(), size, _values(members.field("signature")), own, batch.column("low")[i].as_py() != batch.column("high")[i].as_py())
+
+
+def links_in_blocks(groups: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, matches: int, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``: links between different roots of ``groups(pivot, node, root)``, by ``sketches(node, size, signature)``. Members that some signature of their
+    group suits are found first; only their sets ``sets_of(nodes)``, as ``(node, grams)``, move. A row of blocks gives a spanning forest of its links at most."""
+
+    def suit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, node, told in _members(batch):
+                found = [x for at, near in _near(*told, percent, matches) for x in (at, *near)]
+                nodes = node[np.unique(np.array(found, np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), batch.column("pivot")[i].as_py(), np.int64)), pa.array(nodes, pa.int64())], ["pivot", "node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for low, high, members in zip(batch.column("low"), batch.column("high"), batch.column("members")):
-                members = members.values
-                node, root, size, own = (members.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "size", "own"))
-                found += _links_across(node, root, size, _values(members.field("signature")), members.field("grams").to_pylist(), own, low.as_py() != high.as_py(), percent, matches)
-            a, b = zip(*found) if found else ((), ())
+            links: list[tuple[int, int]] = []
+            for _, members, node, told in _members(batch):
+                sets, root = members.field("grams").to_pylist(), told[0]
+                unpacked = functools.cache(lambda i, sets=sets: _unpacked(sets[i]))
+                for at, near in _near(*told, percent, matches):
+                    for i in near:
+                        if root[i] != root[at] and _similar(unpacked(at), unpacked(i), percent):
+                            links.append((max(int(node[i]), int(node[at])), min(int(node[i]), int(node[at]))))
+                            root[root == root[i]] = root[at]
+            a, b = zip(*links) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    sized = groups.join(full.select("node", "size"), "node")
-    blocks = sized.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high"), (own > other).cast("int").alias("own")))
-    dealt = groups.join(blocks, "pivot").select("pivot", "node", "root", F.explode(meets).alias("m"))
-    member = F.struct("node", "root", "size", F.col("m.own").alias("own"), "signature", "grams")
-    rows = dealt.join(full, "node").groupBy("pivot", F.col("m.low").alias("low"), F.col("m.high").alias("high")).agg(F.collect_list(member).alias("members"))
+    held = sketches.select("node", "size", "signature")
+    suited = materialize(_blocks(groups, held, block).select("pivot", "low", "high", "members").mapInArrow(suit, "pivot long, node long").distinct(), "suited")
+    wanted = suited.select("node").distinct()
+    if wanted.isEmpty():
+        return wanted.selectExpr("node a", "node b")
+    rows = _blocks(groups.join(suited, ["pivot", "node"]), held.join(sets_of(wanted), "node"), block)
     return materialize(rows.select("low", "high", "members").mapInArrow(compare, "a long, b long").distinct(), "across")
 
 
 def _across(groups: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, matches: int, block: int) -> DataFrame:
-    held = materialize(nodes.join(groups.select("node").distinct(), "node", "left_semi"), "held")
-    if held.isEmpty():
-        return held.selectExpr("node a", "node b")
-    sets = materialize(_full_sets(docs, held, shingle), "sets").groupBy("node").agg(F.first("grams").alias("grams"))
-    return links_in_blocks(groups, held.select("node", "size", "signature").join(sets, "node"), percent, matches, block)
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        held = nodes.select("node", "least_id").join(wanted, "node", "left_semi")
+        return materialize(_full_sets(docs, held, shingle), "sets").groupBy("node").agg(F.first("grams").alias("grams"))
+
+    return links_in_blocks(groups, nodes, sets_of, percent, matches, block)
 
 
 def _named_by_id(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -417,7 +417,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), pivot).where("low < high")
     groups = materialize(named.join(several.select("key", "pivot"), "key").select("pivot", F.col("id").alias("node"), "root").distinct(), "apart")
     full = _sketched_sets(docs, groups.select("node").distinct(), shingle)
-    return connected_components(links.union(links_in_blocks(groups, full, percent, match_threshold(percent, miss=MISS))))
+    return connected_components(links.union(links_in_blocks(groups, full, lambda wanted: full.join(wanted, "node", "left_semi").select("node", "grams"), percent, match_threshold(percent, miss=MISS))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
