@@ -10,8 +10,11 @@
    may be any letter it resembles, a run may be one letter, a separator may be nothing or a boundary). Viterbi search finds
    the likeliest reading under the channel's costs and the character model, which mixes the corpus trigrams with
    the letter sequences of the clues. Plain tokens have one path only and stay as they are. Tokens and spaced runs of any length are
-   decoded whole. Four digits in a row are a number and four wildcards in a row hide too much: both part a token. A token
+   decoded whole. Four digits in a row are first read as a number and four wildcards in a row as a gap: both part a token. A token
    joined by ``-`` or ``_`` is read part by part, or as one if that shows more clues or its parts are single letters.
+   What this leaves without a clue (numbers, tokens without letters, wide or odd spacing) gets a second reading, in which wildcards stand for the letters
+   that continue a clue only. It is taken if it is one word that begins with a clue and likelier than an arbitrary string of ``SYMBOLS`` symbols;
+   where wildcards outnumber the other symbols more than two to one, too much is hidden, and there is none.
 4. Score: a logistic model of the clues in the restored text, fitted on the same sample, restored in the same way.
 
 Only the text enters a score. Defined results: null and empty texts get the score of a text without clues; very long texts are read whole;
@@ -41,6 +44,7 @@ LEAST_TEXTS = 4
 LEAST_SHARE, SURE_SHARE = 0.5, 0.75
 THRESHOLD = 0.7
 ORDER = 27  # a boundary and 26 letters
+SYMBOLS = 50  # of which a string without sense is made: letters, digits and marks
 BLOCK = 1 << 20
 
 #: Letters that a symbol may stand for.
@@ -49,7 +53,13 @@ SEPARATORS = " ._-*/\t\n"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SPACED = re.compile(r"(?<![^\s])[a-z0-9@$!|](?:[ ._*/\t\n-]{1,2}[a-z0-9@$!|]){2,}(?![^\s.,;:!?])")
 EDGES = ".,;:?!\"'()[]{}<>#%&|*-_~=+/\\…«»“”„"
-SPLIT = re.compile(r"[.,;:?\"/\\\[\]{}<>=~&%]+|[0-9]{4,}|[*#]{4,}")
+#: Single symbols at any distance, among them those that ``SPACED`` lacks; no character is both a symbol and a separator.
+WIDE = re.compile(r"(?<![^\s])[a-z0-9@$!|+(#*€£¡](?:[ ._/\t\n-]+[a-z0-9@$!|+(#*€£¡]){2,}(?![^\s.,;:!?])")
+APART = re.compile(WIDE.pattern + "|" + SPACED.pattern)
+GAPS = re.compile(r"([ ._/\t\n-])[ ._/\t\n-]+")
+WILD = re.compile(r"[*#]")
+SPLIT = re.compile(r"[.,;:?\"/\\\[\]{}<>=~&%]+")
+NUMBERS = re.compile(r"[0-9]{4,}|[*#]{4,}")
 JOINTS = re.compile(r"[-_]+")
 RUNS = re.compile(r"(.)\1*", re.DOTALL)
 DOUBLE = re.compile(r"([^\W\d_])\1")
@@ -90,6 +100,10 @@ class Restorer:
         self.corpus = (tri + 20 * p2[None]) / (tri.sum(axis=2, keepdims=True) + 20)
         self.clues = {clue: i for i, clue in enumerate(clues)}
         self.lengths = sorted({len(clue) for clue in clues})
+        self.ahead: dict[str, set[str]] = {}
+        for clue in clues:
+            for i, letter in enumerate(clue):
+                self.ahead.setdefault(clue[:i], set()).add(letter)
         self.follow: dict[str, Counter] = {}
         for word in clues:
             padded = f"   {word}"
@@ -121,27 +135,62 @@ class Restorer:
         return found
 
     def decode(self, seen: str) -> str:
-        """The likeliest reading; states are the last three characters, and each keeps the way it was reached."""
+        return self._likeliest(seen)[1]
+
+    def _likeliest(self, seen: str, known: bool = False) -> tuple[float, str]:
+        """The likeliest reading and its score; states are the last three characters, and each keeps the way it was reached. If ``known``, a
+        wildcard stands for nothing but letters that follow the state in some clue."""
         columns: list[dict[str, tuple[float, tuple | None]]] = [{} for _ in range(len(seen) + 1)]
         columns[0]["   "] = (0.0, None)
         runs = (m.end() - i for m in RUNS.finditer(seen) for i in range(*m.span()))
         for i, run in enumerate(runs):
             here, columns[i] = columns[i], {}
+            hides = known and seen[i] in "*#"
             for j, letter, cost in self._edges(seen[i], i, run):
                 there = columns[j]
                 for last, (score, way) in here.items():
+                    price = cost
+                    if hides and not letter:
+                        price = -2.3  # a skipped wildcard is as dear as a doubled letter
+                    elif hides and letter.strip():
+                        fitting = self.follow.get(last, ())
+                        if letter not in fitting or j > i + 1:  # each stands for a letter of its own
+                            continue
+                        price += math.log(26 / len(fitting))
                     if letter == " " and last[-1] == " " or not letter:
-                        state, now, after = last, score + cost, way
+                        state, now, after = last, score + price, way
                     else:
-                        state, now, after = last[1:] + letter, score + cost + self._log_p(last, letter), (way, letter)
+                        state, now, after = last[1:] + letter, score + price + self._log_p(last, letter), (way, letter)
                     if state not in there or now > there[state][0]:
                         there[state] = (now, after)
-        _, way = max(((score + self._log_p(last, " "), way) for last, (score, way) in columns[-1].items()), key=lambda x: x[0])
+        best, way = max(((score + self._log_p(last, " "), way) for last, (score, way) in columns[-1].items()), key=lambda x: x[0])
         letters = []
         while way:
             way, letter = way
             letters.append(letter)
-        return "".join(reversed(letters)).strip()
+        return best, "".join(reversed(letters)).strip()
+
+    def _may_hide(self, seen: str) -> bool:
+        """Whether some clue can be read at the start of ``seen``, symbol by symbol, repetitions and separators skipped."""
+        alive, before = {""}, ""
+        for c in seen:
+            stay = alive if c == before or c in SEPARATORS else ()
+            meant = LETTERS if c in "*#" else c if c in LETTERS else LOOKALIKES.get(c, "")
+            alive = {*stay, *(a + letter for a in alive for letter in self.ahead.get(a, ()) if letter in meant)}
+            if not alive or any(a in self.clues for a in alive):
+                return bool(alive)
+            before = c
+        return False
+
+    def hidden(self, seen: str) -> str | None:
+        """The second reading: one word that begins with a clue and is likelier than a string without sense."""
+        wild = len(WILD.findall(seen))
+        shown = sum(c not in SEPARATORS and c not in "*#" for c in seen)
+        if not self.clues or wild > 2 * shown or not self._may_hide(seen):
+            return None
+        score, word = self._likeliest(GAPS.sub(r"\1", seen), known=True)
+        symbols = shown + wild
+        return word if self.marks(word) and " " not in word and score > -symbols * math.log(SYMBOLS) else None
 
     def marks(self, word: str) -> list[int]:
         """The clues that the word begins with."""
@@ -161,7 +210,17 @@ class Restorer:
         if core.isalpha() and core == token.strip(EDGES + "$@"):
             return [self._plain(core)]
         words = []
-        for part in SPLIT.split(core):
+        for piece in SPLIT.split(core):
+            found = self._pieces(piece)
+            part_of_number = piece.isdigit() and piece != core
+            if not (piece.isalpha() or part_of_number or any(map(self.marks, found))) and (word := self.hidden(piece)):
+                found = [word]
+            words += found
+        return words
+
+    def _pieces(self, piece: str) -> list[str]:
+        words = []
+        for part in NUMBERS.split(piece):
             parts = [p for p in JOINTS.split(part) if p]
             if len(parts) < 2:
                 words += self._part(part)
@@ -192,14 +251,21 @@ class Restorer:
         read = self.decode(word)
         return read if TRIPLE.search(word) or self.marks(read) else word
 
+    def _apart(self, run: str) -> list[str]:
+        """The words of a run of single symbols."""
+        words = [word for m in SPACED.finditer(run) for word in self.decode(m.group()).split()]
+        if any(map(self.marks, words)) or not (word := self.hidden(run)):
+            return words
+        return [word]
+
     def words(self, text: str) -> Counter:
         """Words of the restored text with their numbers."""
         low, found = text.lower(), Counter()
         for token, n in Counter(low.split()).items():
             for word in self.token(token)[0]:
                 found[word] += n
-        for run in SPACED.finditer(low):
-            found.update(self.decode(run.group()).split())
+        for run in APART.finditer(low):
+            found.update(self._apart(run.group()))
         return found
 
     def count_clues(self, text: str) -> Counter:
@@ -208,14 +274,14 @@ class Restorer:
         for token, n in Counter(low.split()).items():
             for clue in self.token(token)[1]:
                 found[clue] += n
-        for run in SPACED.finditer(low):
-            for word in self.decode(run.group()).split():
+        for run in APART.finditer(low):
+            for word in self._apart(run.group()):
                 found.update(self.marks(word))
         return found
 
     def restore(self, text: str) -> str:
         """The whole text with decoded tokens and spaced runs put in place, lower case; white space becomes one space."""
-        low = SPACED.sub(lambda m: self.decode(m.group()), text.lower())
+        low = APART.sub(lambda m: " ".join(self._apart(m.group())) or m.group(), text.lower())
         return " ".join(w for token in low.split() for w in self.token(token)[0])
 
 

@@ -34,6 +34,48 @@ def test_noise_of_any_length_is_decoded(seen):
     assert r.count_clues(seen) and r.count_clues(f"some words, {seen} and more")
 
 
+@pytest.mark.parametrize(
+    "seen",
+    ["1d1075", "1d1071c", "@$$", "$#!7", "455", "b   i   t   c   h", "b i + c h", "s h 1 +", "m o r * n", "m****n", "m0r0n2024", "b!+ch", "$ # ! 7"],
+)
+def test_second_reading(seen):
+    r = toxicity.Restorer(COUNTS, ["idiot", "moron", "shit", "ass", "bitch"])
+    assert sum(r.count_clues(seen).values()) == 1 and sum(r.count_clues(f"some words {seen}, and more").values()) == 1
+    assert r.marks(r.restore(seen).split()[0])
+
+
+@pytest.mark.parametrize(
+    "seen",
+    ["1455", "4551234", "2024", "192.168.455.1", "+49-455-1234567", "a * b * c", "1   2   3   4", "#" * 5_000, "* " * 2_000, "m****", "x****y", "20 000", "4-5-6", "$$$", "# # #", "1/2/3", "$4,500.00"],
+)
+def test_numbers_and_marks_stay_silent(seen):
+    r = toxicity.Restorer(COUNTS, ["idiot", "moron", "shit", "ass", "bitch"])
+    assert not r.count_clues(seen)
+
+
+def test_second_reading_by_brute_force():
+    r = toxicity.Restorer(np.random.default_rng(2).integers(1, 50, (toxicity.ORDER,) * 3), ["bad", "abe", "toad"])
+
+    def paths(seen, i, last, score, text):
+        if i == len(seen):
+            yield score + r._log_p(last, " "), text.strip()
+            return
+        for j, letter, cost in r._edges(seen[i], i, len(seen[i:]) - len(seen[i:].lstrip(seen[i]))):
+            if not letter or (letter == " " and last[-1] == " "):
+                yield from paths(seen, j, last, score + (-2.3 if not letter and seen[i] in "*#" else cost), text)
+                continue
+            if seen[i] in "*#" and letter != " ":
+                fitting = r.follow.get(last, ())
+                if letter not in fitting or j > i + 1:
+                    continue
+                cost += np.log(26 / len(fitting))
+            yield from paths(seen, j, last[1:] + letter, score + cost + r._log_p(last, letter), text + letter)
+
+    for seen in ("b#d", "8@d", "t**d", "7.0.#.d", "#b3", "$$8"):
+        best, word = r._likeliest(seen, known=True)
+        assert (pytest.approx(best), word) == max(paths(seen, 0, "   ", 0.0, ""))
+
+
 def test_long_and_short_spaced_words():
     r = toxicity.Restorer(COUNTS, ["moron", "ass"])
     run = "q w z k p v " * 17 + "m o r o n"  # 213 characters
