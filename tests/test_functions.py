@@ -70,3 +70,14 @@ def test_flexible_answers(spark, question, grounded, shown):
 @given(st.text(max_size=40))
 def test_canonical_is_idempotent(text):
     assert [P.canonical(t) for t in P.content_terms(text)] == P.content_terms(text)
+
+
+def test_texts_are_worked_out_before_they_meet_the_questions(spark, tmp_path):
+    """What a text gives by itself stands below the join with the questions, so it is done once a document."""
+    from corvane.plans import catalog
+
+    spark.createDataFrame([(1, "- a\n- b"), (2, " It is not. So it goes "), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.flexible_answer(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and "regexp_replace" not in plan.split("Join Cross")[0].lower() and "rlike" not in plan.split("Join Cross")[0].lower()
+    assert {(r.doc_id, r.id): r.answer for r in found.collect()}[2, 1] == "It is not."
