@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import matching, ranking, vectors
+from corvane.operators import blocks, matching, ranking, vectors
 from corvane.operators import retrieval as R
 from corvane.operators.index import build_index
 
@@ -75,3 +75,60 @@ def test_hybrid_plans_have_no_cross_join(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert found.where("question_id = 0 AND rank = 1").first().chunk_id == "c2"
     assert {r.chunk_id for r in found.where("question_id = 0").collect()} >= {"c2", "c3"}
+
+
+def corpus(spark, n=60, seed=5):
+    rng = random.Random(seed)
+    words = [f"w{x}" for x in "abcdefghijklmnop"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 25))) for _ in range(n)]
+    rows = [(i, i, f"s{i % 3}", rng.choice([None, *words]), t, [round(rng.gauss(0, 1), 1) for _ in range(4)] if i % 5 else None) for i, t in enumerate(texts)]
+    held = spark.createDataFrame(rows, "chunk_id long, position long, source string, heading string, text string, vector array<double>")
+    asked = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 4))), [round(rng.gauss(0, 1), 1) for _ in range(4)] if i % 4 else None) for i in range(11)] + [(11, "", None), (12, "the", None)]
+    return held, spark.createDataFrame(asked, "question_id long, question string, vector array<double>"), rows, asked
+
+
+def _found(df, *columns):
+    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect())
+
+
+def test_results_do_not_depend_on_blocks_or_slices(spark, monkeypatch):
+    """Many small blocks, panels and slices of terms give the ranks that one block gives, where every pair is ranked at once."""
+    held, asked, _, _ = corpus(spark)
+    index = build_index(held)
+    answers = asked.select("question_id", "question", F.col("question").alias("answer"))
+
+    def results():
+        return [
+            _found(R.search(index, asked, 7), "question_id", "rank", "chunk_id", "score", "lexical", "semantic", "confidence"),
+            _found(R.search(index, asked.drop("vector"), 100), "question_id", "rank", "chunk_id", "score"),
+            _found(R.bm25_best(index, asked, 3), "question_id", "rank", "chunk_id", "lexical"),
+            _found(R.rerank_features(index, asked), "question_id", "chunk_id", "rerank", "lexical_confidence"),
+            _found(R.fused_ranks(index, held.select("chunk_id", "vector"), asked), "question_id", "chunk_id", "fused"),
+            _found(R.source_context(index, answers, 2), "question_id", "source", "place", "chunk_id", "merit"),
+        ]
+
+    whole = results()
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    monkeypatch.setattr(blocks, "PANEL", 3)
+    monkeypatch.setattr(blocks, "CELLS", 20)
+    assert results() == whole and all(whole)
+
+
+def test_no_pair_of_question_and_chunk_is_joined_to_texts(spark):
+    held, asked, _, _ = corpus(spark)
+    index = build_index(held)
+    plan = R.source_context(index, asked.select("question_id", "question", F.col("question").alias("answer")))._jdf.queryExecution().executedPlan().toString()
+    assert "array_intersect" not in plan and not re.search(r"keys=\[question_id#\d+L?, chunk_id", plan)
+
+
+def test_source_context_equals_a_loop(spark):
+    held, asked, rows, questions = corpus(spark)
+    answers = asked.select("question_id", "question", F.col("question").alias("answer"))
+    lexical = {(r.question_id, r.chunk_id): r.lexical for r in R.bm25(build_index(held), asked).collect()}
+    want = set()
+    for q, text, _ in questions:
+        terms = {t for t in text.split() if len(t) > 3}
+        for source in {r[2] for r in rows}:
+            merits = [(-round(5 * (text in r[4]) + len(terms & set(r[4].split())) + lexical[q, r[0]], 9), r[0]) for r in rows if r[2] == source and (q, r[0]) in lexical]
+            want |= {(q, source, place, c) for place, (_, c) in enumerate(sorted(merits)[:2], 1)}
+    assert set(_found(R.source_context(build_index(held), answers, 2), "question_id", "source", "place", "chunk_id")) == want

@@ -81,3 +81,15 @@ def test_texts_are_worked_out_before_they_meet_the_questions(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" in plan and "regexp_replace" not in plan.split("Join Cross")[0].lower() and "rlike" not in plan.split("Join Cross")[0].lower()
     assert {(r.doc_id, r.id): r.answer for r in found.collect()}[2, 1] == "It is not."
+
+
+def test_report_from_hits_equals_the_report_from_texts(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.operators import reports
+
+    rows = [(1, "ice melts fast", r, t, c) for r, t, c in [(1, "the ice melts", 0.6), (2, "fast ice\nmelts", 0.2)]] + [(2, "ends\nhere", 1, "it ends", 0.1), (2, "ends\nhere", 2, "here", 0.3), (3, "a b", 1, None, 0.9)]
+    hits = spark.createDataFrame(rows, "question_id int, answer string, rank int, text string, confidence double")
+    told = hits.groupBy("question_id", "answer").agg(F.sort_array(F.collect_list(F.struct("rank", "text", "confidence"))).alias("r"))
+    told = told.select("question_id", "answer", F.col("r.text").alias("sources"), F.transform("r.text", lambda t: F.coalesce(t, F.lit(""))).alias("texts"), F.col("r.confidence").alias("confidences"))
+    assert sorted(map(tuple, reports.hits_report(hits).collect())) == sorted(map(tuple, reports.confidence_report(told).collect()))
