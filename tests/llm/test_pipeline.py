@@ -106,3 +106,22 @@ def test_near_copies_around_a_hot_passage(spark):
                 old, new = max(root[a], root[b]), min(root[a], root[b])
                 root = {k: new if r == old else r for k, r in root.items()}
     assert {r.node: r.root for r in simhash.similar_groups(frame(spark, rows)).collect()} == {i: r for i, r in root.items() if i != r}
+
+
+def test_near_copies_go_by_the_minhash_operator(spark, sf_dir, monkeypatch):
+    """The stage's groups are the operator's own, over five-word shingles; it once had a set join of its own."""
+    from corvane.llm import minhash
+
+    rng, seen, whole = random.Random(8), [], minhash.minhash_groups
+    monkeypatch.setattr(minhash, "minhash_groups", lambda *a: seen.append(a[1:]) or whole(*a))
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(6))
+    rows, texts = [], [[word() for _ in range(rng.randint(30, 90))] for _ in range(40)]
+    for i, text in enumerate(texts):
+        at = rng.randrange(len(text))
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[:at], word(), *text[at + 1 :]]))]
+    rows += [(100, None), (101, " \t"), (102, ""), (None, " ".join(texts[0]))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows[:80] for w in [t.split()]}
+    gone = {b for b in sets if b % 2 and 100 * len(sets[b] & sets[b - 1]) >= 80 * len(sets[b] | sets[b - 1])}
+    left = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), sf_dir)
+    assert sorted((r.doc_id for r in left.collect()), key=str) == sorted((i for i, _ in rows if i not in gone | {101, 102}), key=str)
+    assert seen == [(5, 80)] and gone
