@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import materialize, read_table
+from .workers import fresh
 
 COORDINATES = 64
 MISS = 1e-7
@@ -89,6 +90,7 @@ def sketches(docs: DataFrame, shingle: int, coordinates: int) -> DataFrame:
     import xxhash
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in batches:
             sets = [shingle_set(t.as_py() or "", shingle) for t in batch.column("text")]
             nodes = [_signed(xxhash.xxh3_64_intdigest(g.tobytes())) if len(g) else None for g in sets]

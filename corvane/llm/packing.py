@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .storage import materialize, read_table
 from .words import default_path, encoder
+from .workers import fresh
 
 RUN = 8_192
 COPIES = 64
@@ -156,6 +157,7 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     keys = [(c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32", "copy")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         first, bins = TaskContext.get().partitionId() << 40, Bins(capacity)
 
         def packed(run: pa.Table) -> Iterator[pa.RecordBatch]:

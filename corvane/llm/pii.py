@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize, read_table
+from .workers import fresh
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -147,6 +148,7 @@ def scan(docs: DataFrame) -> DataFrame:
     fields = [("start", pa.int32()), ("end", pa.int32()), ("string", pa.string()), ("kind", pa.string()), ("patterns", pa.list_(pa.string()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         names = [f for f, _ in fields]
         for batch in batches:
             found = [[dict(zip(names, o)) for o in occurrences(t.as_py() or "")] for t in batch.column("text")]

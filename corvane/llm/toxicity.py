@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize, read_table
+from .workers import fresh
 
 SAMPLE_ROWS = 20_000
 PREFIXES = range(3, 13)
@@ -72,6 +73,7 @@ def count_characters(docs: DataFrame) -> np.ndarray:
     """Trigram counts over all texts: ``ORDER ** 3`` numbers, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         total = np.zeros(ORDER**3, np.int64)
         for batch in batches:
             codes = np.frombuffer("\n\n".join(["", *batch.column("text").fill_null("").to_pylist(), ""]).encode(), np.uint8)
@@ -443,6 +445,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     at = _by_prefix(clues)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         restorer = Restorer(counts, prefixes)
         for batch in batches:
             logits, n_clues = [], []

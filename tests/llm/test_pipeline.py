@@ -125,3 +125,31 @@ def test_near_copies_go_by_the_minhash_operator(spark, sf_dir, monkeypatch):
     left = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), sf_dir)
     assert sorted((r.doc_id for r in left.collect()), key=str) == sorted((i for i, _ in rows if i not in gone | {101, 102}), key=str)
     assert seen == [(5, 80)] and gone
+
+
+def test_workers_give_memory_back(spark):
+    """What one stage kept in a Python worker once stayed for all stages after it, beside Arrow's pool and batches of any size."""
+    from corvane.llm import pii, words
+
+    path = words.default_path("word_bpe_49k.json")
+
+    def look(batches):
+        import pyarrow as pa
+
+        from corvane.llm import words
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([words.encoder.cache_info().currsize]), pa.array([len(batch)]), pa.array([pa.default_memory_pool().backend_name])], ["held", "n", "pool"])
+
+    def tokenise(batches):
+        words.encoder(path)
+        yield from batches
+
+    seen = lambda docs: docs.mapInArrow(look, "held long, n long, pool string").collect()
+    small = spark.range(0, 640, 1, 64).selectExpr("id doc_id", "concat('word', id) text")
+    small.mapInArrow(tokenise, small.schema).write.format("noop").mode("overwrite").save()
+    assert any(r.held for r in seen(small))
+    pii.scan(small).write.format("noop").mode("overwrite").save()
+    assert not any(r.held for r in seen(small))
+    large = seen(spark.range(0, 1000, 1, 1).selectExpr("id doc_id", "repeat('word ', 4000) text"))
+    assert sum(r.n for r in large) == 1000 and max(r.n for r in large) < 500 and {r.pool for r in large} == {"system"}
