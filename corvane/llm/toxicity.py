@@ -15,7 +15,8 @@
    What this leaves without a clue (numbers, tokens without letters, wide or odd spacing) gets a second reading, in which wildcards stand for the letters
    that continue a clue only. It is taken if it is one word that begins with a clue and likelier than an arbitrary string of ``SYMBOLS`` symbols;
    where wildcards outnumber the other symbols more than two to one, too much is hidden, and there is none.
-4. Score: a logistic model of the clues in the restored text, fitted on the same sample, restored in the same way.
+4. Score: a logistic model of the clues in the restored text, fitted on the same sample, restored in the same way. What can show no clue in any reading
+   (``places``) is not restored for a score; that changes none.
 
 Only the text enters a score. Defined results: null and empty texts get the score of a text without clues; very long texts are read whole;
 labels with null ``toxic`` are not used; repeated rows get equal scores; equally likely readings: the first found stays; without labels nothing is
@@ -63,6 +64,8 @@ SPLIT = re.compile(r"[.,;:?\"/\\\[\]{}<>=~&%]+")
 NUMBERS = re.compile(r"[0-9]{4,}|[*#]{4,}")
 JOINTS = re.compile(r"[-_]+")
 RUNS = re.compile(r"(.)\1*", re.DOTALL)
+SPACE = re.compile(r"\s")
+SHORT = 40  # symbols of a group that are looked through at a place
 DOUBLE = re.compile(r"([^\W\d_])\1")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 CLASSES = np.zeros(256, np.int64)
@@ -89,6 +92,45 @@ def count_characters(docs: DataFrame) -> np.ndarray:
     return counts.reshape(ORDER, ORDER, ORDER)
 
 
+def places(clues: list[str]) -> re.Pattern | None:
+    """Finds every place in a lower-case text from which some reading, the first or the second, may show a clue, and some others.
+
+    A reading begins a word at the start or after a symbol that is no letter, and then takes for each letter of the clue the letter or look-alikes
+    of it, repeated or not, and any separators. Neighbouring letters that share a symbol are one group here, so that a group ends where its symbols do and
+    the search never goes back. A group of more than ``SHORT`` symbols is a place whatever follows, so that each costs bounded work, and so is a wildcard."""
+    if not clues:
+        return None
+    skipped = set(SEPARATORS) - set("*#")
+    symbols = {letter: {letter, *(c for c, meant in LOOKALIKES.items() if letter in meant and c not in "*#")} for letter in set("".join(clues))}
+    tree: dict = {}
+    for clue in sorted(clues):
+        groups: list[tuple[set[str], int]] = []  # symbols, and the letters they stand for
+        for letter in clue:
+            group, n = symbols[letter], 1
+            while groups and groups[-1][0] & group:
+                before, m = groups.pop()
+                group, n = group | before, n + m
+            groups.append((group, n))
+        node = tree
+        for group, n in groups:
+            node = node.setdefault((frozenset(group), n), {})
+        node[None] = {}  # a clue ends here
+
+    def one_of(chars: set[str]) -> str:
+        return "[" + "".join(map(re.escape, sorted(chars))) + "]"
+
+    def pattern(node: dict) -> str:
+        ways = []
+        for (group, n), after in node.items():
+            more = one_of({*group, *skipped})
+            rest = "" if None in after else f"{more}{{0,{SHORT}}}+(?:{more}|{pattern(after)})"
+            ways.append(f"{one_of(group)}{more}{{{n - 1}}}{rest}")
+        return f"(?:{'|'.join(ways)})"
+
+    first = one_of(set("*#").union(*(group for group, _ in tree)))
+    return re.compile(f"{first}(?:(?<=[*#])|(?<![a-z].)(?<=(?={pattern(tree)}).))", re.DOTALL)
+
+
 class Restorer:
     """Viterbi decoding of tokens; keeps what it has decoded."""
 
@@ -112,6 +154,7 @@ class Restorer:
             for i in range(3, len(padded)):
                 self.follow.setdefault(padded[i - 3 : i], Counter())[padded[i]] += 1
         self.seen: dict[str, tuple[tuple[str, ...], tuple[int, ...]]] = {}
+        self.places = places(clues)
 
     def _log_p(self, last: str, letter: str) -> float:
         at = [LETTERS.find(c) + 1 for c in (last[-2], last[-1], letter)]
@@ -271,14 +314,22 @@ class Restorer:
         return found
 
     def count_clues(self, text: str) -> Counter:
-        """Clues of the restored text with their numbers."""
+        """Clues of the restored text with their numbers. Only tokens and runs with a place from which a clue may be read are restored."""
         low, found = text.lower(), Counter()
-        for token, n in Counter(low.split()).items():
-            for clue in self.token(token)[1]:
-                found[clue] += n
-        for run in APART.finditer(low):
-            for word in self._apart(run.group()):
-                found.update(self.marks(word))
+        end = 0
+        for place in self.places.finditer(low) if self.places else ():
+            if (start := place.start()) < end:
+                continue
+            after = SPACE.search(low, start)
+            while start > end and not low[start - 1].isspace():
+                start -= 1
+            end = after.start() if after else len(low)
+            for clue in self.token(low[start:end])[1]:
+                found[clue] += 1
+        for run in APART.finditer(low) if end else ():
+            if self.places.search(run.group()):
+                for word in self._apart(run.group()):
+                    found.update(self.marks(word))
         return found
 
     def restore(self, text: str) -> str:

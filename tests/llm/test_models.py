@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -90,6 +91,38 @@ def test_plain_text_stays():
     assert not r.count_clues("A morose morning; the maroon room")
 
 
+def test_tokens_that_can_show_no_clue_are_not_decoded(monkeypatch):
+    r, decoded = toxicity.Restorer(COUNTS, ["moron", "idiot", "illegal"]), []
+    monkeypatch.setattr(r, "_likeliest", lambda seen, known=False: decoded.append(seen) or (0.0, ""))
+    assert not r.count_clues("A little letter from the committee, l'eau, c4lled 7-8 or 3.14; b i t t e r") and not r.seen and not decoded
+    r.count_clues("letter m00ron committee")
+    assert [*r.seen] == ["m00ron"] and {*decoded} == {"m00ron"}
+
+
+def test_places_miss_no_clue():
+    rnd, clues = random.Random(3), ["ass", "bigot", "dis", "idiot", "ill", "lil", "moron", "shit", "élan"]
+    looks = {letter: [c for c, meant in toxicity.LOOKALIKES.items() if letter in meant] for letter in toxicity.LETTERS}
+    r, n = toxicity.Restorer(np.random.default_rng(5).integers(0, 50, (toxicity.ORDER,) * 3), clues), 0
+    for _ in range(400):
+        tokens = []
+        for word in rnd.choices([*clues, "letter", "rose", "42"], k=3):
+            symbols = [rnd.choice([c, c, c, *looks.get(c, [c])[:3]]) * rnd.choice([1, 1, 1, 1, 2, 3]) for c in word]
+            tokens.append(rnd.choice(["", "", "!", "4", "é", "x", "$$$", "2024"]) + rnd.choice(["", "", "", " ", "   ", "-", ".", "'", "\xa0"]).join(symbols) + rnd.choice(["", "", "s", ".", "!!", "99"]))
+        text = rnd.choice([" ", "\n", ", ", "-"]).join(tokens)
+        whole = sum(([*r.marks(word)] * k for word, k in r.words(text).items()), [])
+        assert sorted(r.count_clues(text).elements()) == sorted(whole), text
+        n += len(whole)
+    assert n > 100
+
+
+@pytest.mark.parametrize("seen", ["1", "1 ", "l.", "t7o0", "11111! ", "a5 "])
+def test_places_cost_bounded_work(seen):
+    found = toxicity.places(["lilo", "toot", "ass", "illegal"])
+    began = time.thread_time()
+    sum(1 for _ in found.finditer(seen * 100_000))
+    assert time.thread_time() - began < 20  # 0.3 s at most as measured; a search that goes back does not end
+
+
 def test_viterbi_by_brute_force():
     r = toxicity.Restorer(np.random.default_rng(1).integers(1, 50, (toxicity.ORDER,) * 3), ["bad", "ab"])
 
