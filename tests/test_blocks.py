@@ -91,6 +91,24 @@ def _found(df, *columns):
     return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect())
 
 
+def test_blocks_and_panels_meet_without_a_broadcast(spark):
+    """A panel goes to each block: small as files, the panels sent grow with the corpus, and the driver would hold them all."""
+    texts, asked, _, _ = corpus(spark)
+    index = build_index(texts)
+    found = [R.bm25_best(index, asked, 3), R.rerank_features(index, asked), R.search(index, asked, 3), vectors.nearest_chunks(texts.select("chunk_id", "vector"), asked, 3)]
+    for df in found:
+        joins = re.findall(r"(\w+Join) \[(?:block|panel)#", df._jdf.queryExecution().executedPlan().toString())
+        assert joins and set(joins) == {"SortMergeJoin"}
+
+
+def test_a_partition_gathers_few_blocks(spark):
+    rows = spark.range(400).withColumnRenamed("id", "chunk_id")
+    dealt = blocks._dealt(rows, "chunk_id", 40, "block", "members")
+    shares = dealt.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert dealt.rdd.getNumPartitions() == 20 and sum(r["count"] for r in shares) == 40
+    assert sorted(m.chunk_id for r in dealt.collect() for m in r.members) == list(range(400))
+
+
 def test_results_do_not_depend_on_blocks_or_slices(spark, monkeypatch):
     """Many small blocks, panels and slices of terms give the ranks that one block gives, where every pair is ranked at once."""
     held, asked, _, _ = corpus(spark)
